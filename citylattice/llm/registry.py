@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from citylattice.llm import mixing
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     from citylattice.llm.arrow import session
@@ -17,5 +19,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op10_decontaminate": op10_decontaminate}
-ORACLES: dict[str, str] = {}
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citylattice.llm.mixing import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op7_mix": op7_mix, "op10_decontaminate": op10_decontaminate}
+ORACLES: dict[str, str] = {"op7_mix": mixing.ORACLE}
