@@ -25,5 +25,11 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_mix": op7_mix, "op10_decontaminate": op10_decontaminate}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citylattice.llm.pii import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_pii": op9_pii, "op7_mix": op7_mix, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {"op7_mix": mixing.ORACLE}
