@@ -11,14 +11,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from citylattice.session import prepare
 
-#: Rows of one Arrow batch; long texts make large batches.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def session(spark: SparkSession) -> SparkSession:
     """Workers find the package, and Arrow batches are small enough for long texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "-1").rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return prepare(spark)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citylattice.llm import mixing
+from citylattice.llm import mixing, neighbours
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,5 +31,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_pii": op9_pii, "op7_mix": op7_mix, "op10_decontaminate": op10_decontaminate}
-ORACLES: dict[str, str] = {"op7_mix": mixing.ORACLE}
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citylattice.llm.neighbours import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op8_neighbours": op8_neighbours, "op9_pii": op9_pii, "op7_mix": op7_mix, "op10_decontaminate": op10_decontaminate}
+ORACLES: dict[str, str] = {"op7_mix": mixing.ORACLE, "op8_neighbours": neighbours.ORACLE}
