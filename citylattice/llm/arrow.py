@@ -19,7 +19,7 @@ def session(spark: SparkSession) -> SparkSession:
     """Workers find the package, and Arrow batches are small enough for long texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "-1").rstrip("bB")) <= BATCH_BYTES:
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) <= BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return prepare(spark)
 
