@@ -37,5 +37,11 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op8_neighbours": op8_neighbours, "op9_pii": op9_pii, "op7_mix": op7_mix, "op10_decontaminate": op10_decontaminate}
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citylattice.llm.minhash import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op6_minhash": op6_minhash, "op8_neighbours": op8_neighbours, "op9_pii": op9_pii, "op7_mix": op7_mix, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {"op7_mix": mixing.ORACLE, "op8_neighbours": neighbours.ORACLE}
