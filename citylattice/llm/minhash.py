@@ -6,10 +6,12 @@ as the empty set, which is linked with nothing. Documents of equal sets form a c
 (1 - s^ROWS)^BANDS, which is 4e-7 at 0.85.
 
 Within a band no pairs are listed. In each of a few rounds, every class of a bucket that is not yet connected with the
-bucket's head is compared with the head; the first head is the class with most documents. What is connected by then
-needs no further comparison. The classes that stay apart are compared with the rest of their bucket in blocks, by their
-minima first (a pair of similarity 0.85 is passed over with probability under 1e-8), so no link is left out. Every link
-is confirmed on the full sets; only documents that can be needed for that give their sets.
+bucket's heads is compared with them; the first head is the class with most documents. What is connected by then needs no
+further comparison. The classes that stay apart are compared with the rest of their bucket in blocks, each pair in the
+first band that it shares only. All comparisons begin with ``SKETCH`` bytes of as many further minima; a pair whose sketches
+agree in less than its similarity less ``SLACK`` is passed over, which happens to a pair of similarity 0.85 with
+probability under 1e-4 and to closer ones hardly ever. Every link is confirmed on the full sets; only documents that can
+be needed for that give their sets.
 
 Links become components by alternating stars. A component carries the least id of its documents. Null ids are larger
 than others: a component of only such documents has a null id. Rows that repeat an id are documents of their own.
@@ -29,17 +31,17 @@ from citylattice.llm.components import components
 from citylattice.session import cut
 
 SHINGLE, BANDS, ROWS = 5, 20, 4
-#: Share of equal minima from which a pair of the blocks is verified.
-LIKELY = 0.55
-#: Heads of a bucket in a round, and rounds, before what is left is compared in blocks.
-HEADS, ROUNDS = 3, 3
+#: Minima of a sketch, one byte each, and how far below the wanted similarity the agreement of sketches may be.
+SKETCH, SLACK = 128, 0.13
+#: Heads of a bucket in a later round, and rounds, before what is left is compared in blocks.
+HEADS, ROUNDS = 2, 1
 BLOCK = 512
 #: Bits of the filter that says which documents give their sets; its size is fixed.
 FILTER_BITS = 23
 U64 = np.uint64
 
-A = K.seeds(BANDS * ROWS, 71) | U64(1)
-B = K.seeds(BANDS * ROWS, 72)
+A = K.seeds(BANDS * ROWS + SKETCH, 71) | U64(1)
+B = K.seeds(BANDS * ROWS + SKETCH, 72)
 
 
 def shingle_sets(column: pa.Array):
@@ -74,24 +76,39 @@ def class_of(s: np.ndarray) -> bytes:
     return np.array([first, second], dtype=">u8").tobytes()
 
 
-SIGNED = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("sig", T.BinaryType())])
+SIGNED = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 
 
 def _signed():
+    number = K.mix(np.arange(BANDS, dtype=U64))
+
     def compute(column):
-        n, cls, sig = [], [], []
+        n, cls, bands, sketch = [], [], [], []
         for s in shingle_sets(column):
             n.append(len(s))
-            cls.append(class_of(s) if len(s) else None)
-            sig.append(minima(s).tobytes() if len(s) else None)
-        return n, cls, sig
+            if not len(s):
+                for x in (cls, bands, sketch):
+                    x.append(None)
+                continue
+            least = minima(s)
+            cls.append(class_of(s))
+            bands.append((K.grams(least[: BANDS * ROWS].astype(U64), ROWS, 81)[::ROWS] ^ number).view(np.int64))
+            sketch.append((least[BANDS * ROWS :] & 255).astype(np.uint8).tobytes())
+        return n, cls, bands, sketch
 
     return compute
 
 
-def _bands(sig: str = "sig"):
-    """64-bit keys of the bands, each with its number mixed in."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col(sig), b * (4 * ROWS) + 1, F.lit(4 * ROWS))))
+def _alike(least: float):
+    """Pairs (u, v) of a table (u, v, a, b) whose sketches a and b agree."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3))
+                yield batch.select([0, 1]).filter(pa.array((a == b).mean(axis=1) >= least))
+
+    return run
 
 
 def _wanted_bits(classes: DataFrame) -> np.ndarray:
@@ -146,52 +163,59 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "u binary, v binary")
 
 
-def _pairs_in_blocks(rows: DataFrame) -> DataFrame:
-    """Likely pairs between classes of different roots in a bucket. ``rows``: key, cls, root, sig, loose (not of the
-    bucket's largest root). Loose classes are split into blocks; every block meets each chunk of its bucket."""
+def _pairs_in_blocks(rows: DataFrame, least: float) -> DataFrame:
+    """Likely pairs between classes of different roots in a bucket. ``rows``: key, cls, root, bands, sketch, loose (not of
+    the bucket's largest root). Loose classes are split into blocks; every block meets each chunk of its bucket."""
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("loose").cast("int")).alias("few"))
     sized = rows.join(counts, "key").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.ceil(F.col("all") / BLOCK)).cast("int"))
     blocks = F.ceil(F.col("few") / BLOCK).cast("int")
     left = sized.where("loose").withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
-    left = left.select("key", "block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("all") / BLOCK).cast("int") - 1)).alias("chunk"), F.lit(True).alias("l"), "cls", "root", "sig")
-    right = sized.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "chunk", F.lit(False).alias("l"), "cls", "root", "sig")
+    payload = ("cls", "root", "bands", "sketch")
+    left = left.select("key", "block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("all") / BLOCK).cast("int") - 1)).alias("chunk"), F.lit(True).alias("l"), *payload)
+    right = sized.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "chunk", F.lit(False).alias("l"), *payload)
 
     def run(key, table):
-        flags = table.column("l").to_numpy()
-        cls, root = table.column("cls").to_pylist(), table.column("root").to_pylist()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(cls), -1)
-        a, b, out = np.flatnonzero(flags), np.flatnonzero(~flags), []
-        if len(a) and len(b):
-            for i in a:
-                near = (sig[i] == sig[b]).mean(axis=1) >= LIKELY
-                out += [(min(cls[i], cls[j]), max(cls[i], cls[j])) for j in b[near] if root[i] != root[j]]
-        u, v = zip(*set(out)) if out else ((), ())
+        flags, here = table.column("l").to_numpy(), key[0].as_py()
+        cls, root = table.column("cls").to_pylist(), np.array(table.column("root").to_pylist(), dtype=object)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(cls), -1)
+        bands = np.array(table.column("bands").combine_chunks().values.to_numpy()).reshape(len(cls), -1)
+        a, b, out = np.flatnonzero(flags), np.flatnonzero(~flags), set()
+        for i in a if len(b) else ():
+            near = b[((sketch[i] == sketch[b]).mean(axis=1) >= least) & (root[b] != root[i])]
+            shared = bands[i] == bands[near]
+            first = bands[i][shared.argmax(axis=1)] == here  # elsewhere the pair is seen in an earlier band
+            out |= {(min(cls[i], cls[j]), max(cls[i], cls[j])) for j in near[first]}
+        u, v = zip(*sorted(out)) if out else ((), ())
         return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
     return left.unionByName(right).groupBy("key", "block", "chunk").applyInArrow(run, "u binary, v binary").distinct()
 
 
-def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members with root: their component's least class, or themselves."""
-    roots = components(links)
-    return members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-
-
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each row of ``docs``: doc_id, text_hash, n_shingles, component_id."""
     session(docs.sparkSession)
+    least = percent / 100 - SLACK
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
     signed = cut(annotate(given, ["text"], _signed, SIGNED, drop=["text"]))
-    classes = cut(signed.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("rep"), F.max("sig").alias("sig"), F.count(F.lit(1)).alias("copies")))
+    # bands and sketch of a class are the same in all its rows
+    classes = cut(signed.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("rep"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")))
     # buckets of at least two classes
-    spread = classes.select("cls", "copies", F.explode(_bands()).alias("key"))
-    keys = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("copies", "cls")).alias("head")).where("n > 1").select("key", "n", F.col("head.cls").alias("head"))
-    buckets = cut(spread.join(keys, "key").select("key", "cls", "head", "n"))
-    sets = cut(_sets(docs, text, classes.join(buckets.select("cls").distinct(), "cls", "left_semi")))
-    ordered = [F.least("cls", "head").alias("u"), F.greatest("cls", "head").alias("v")]
-    links = cut(_verified(buckets.where("cls <> head").select(*ordered).distinct(), sets, percent))
+    spread = classes.select("cls", "copies", F.explode("bands").alias("key"))
+    keys = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("copies", "cls")).alias("head")).where("n > 1").select("key", F.col("head.cls").alias("head"))
+    buckets = cut(spread.join(keys, "key").select("key", "cls", "head"))
+    shared = cut(classes.join(buckets.select("cls").distinct(), "cls", "left_semi").select("cls", "rep", "bands", "sketch"))
+    sets = cut(_sets(docs, text, shared))
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Pairs (x, y) as (u, v), the smaller first, whose sketches agree."""
+        one = pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).where("u <> v").distinct()
+        a = one.join(shared.select(F.col("cls").alias("u"), F.col("sketch").alias("a")), "u")
+        return a.join(shared.select(F.col("cls").alias("v"), F.col("sketch").alias("b")), "v").select("u", "v", "a", "b").mapInArrow(_alike(least), "u binary, v binary")
+
+    links = cut(_verified(likely(buckets.select(F.col("cls").alias("x"), F.col("head").alias("y"))), sets, percent))
     for step in range(ROUNDS + 1):
-        rooted = _rooted(buckets.select("key", "cls"), links)
+        roots = cut(components(links)).select(F.col("node").alias("cls"), "root")
+        rooted = buckets.select("key", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         # only buckets whose classes have different roots are left
         apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         open_ = cut(rooted.join(apart, "key"))
@@ -200,18 +224,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
         if step == ROUNDS:
             by_root = open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
             main = by_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
-            rows = open_.join(main, "key").join(classes.select("cls", "sig"), "cls").select("key", "cls", "root", "sig", (F.col("root") != F.col("main")).alias("loose"))
-            pairs = _pairs_in_blocks(rows)
+            rows = open_.join(main, "key").join(shared.select("cls", "bands", "sketch"), "cls").select("key", "cls", "root", "bands", "sketch", (F.col("root") != F.col("main")).alias("loose"))
+            pairs = _pairs_in_blocks(rows, least)
         else:
             salted = open_.select("key", "cls", "root", F.xxhash64("cls", F.lit(step), "key").alias("turn"))
             heads = salted.groupBy("key").agg(F.array(*[F.min_by(F.struct("cls", "root"), F.xxhash64("turn", F.lit(i))) for i in range(HEADS)]).alias("heads"))
             chosen = salted.join(heads, "key").select("cls", "root", F.explode("heads").alias("h")).where("root <> h.root")
-            pairs = chosen.select(F.least("cls", F.col("h.cls")).alias("u"), F.greatest("cls", F.col("h.cls")).alias("v")).distinct()
+            pairs = likely(chosen.select(F.col("cls").alias("x"), F.col("h.cls").alias("y")))
         links = cut(links.union(_verified(pairs, sets, percent)))
-    named = _rooted(classes.select("cls", "least"), links)
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = cut(named.join(least, "root").select("cls", "component_id"))
-    out = signed.join(by_class, "cls", "left")
+        if step == ROUNDS:
+            roots = cut(components(links)).select(F.col("node").alias("cls"), "root")
+    named = classes.select("cls", "least").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    low = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_class = named.join(low, "root").select("cls", "component_id")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "cls").join(by_class, "cls", "left")
     return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
