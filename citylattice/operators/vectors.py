@@ -67,8 +67,8 @@ def overlap_parents(footprints: DataFrame, threshold: float = 0.5) -> DataFrame:
 def zone_cells(cells: DataFrame, zones: DataFrame) -> DataFrame:
     """(zone_id, i, j): cells whose centre lies in a zone's ring; candidates come from the ring's bounds."""
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    box = zones.where(F.size("ring") >= 3).select("zone_id", "ring", F.explode(F.sequence(F.floor(F.array_min(xs)), F.ceil(F.array_max(xs)))).cast("int").alias("i"), F.floor(F.array_min(ys)).alias("y0"), F.ceil(F.array_max(ys)).alias("y1"))
-    near = box.select("zone_id", "ring", F.col("i").cast("int").alias("i"), F.explode(F.sequence("y0", "y1")).cast("int").alias("j"))
+    box = zones.where(F.size("ring") >= 3).select("zone_id", "ring", F.explode(F.sequence(F.floor(F.array_min(xs)), F.ceil(F.array_max(xs)))).alias("i"), F.floor(F.array_min(ys)).alias("y0"), F.ceil(F.array_max(ys)).alias("y1"))
+    near = box.select("zone_id", "ring", F.col("i").cast("int").alias("i"), F.explode(F.sequence("y0", "y1")).alias("j")).withColumn("j", F.col("j").cast("int"))
     return near.join(cells.select("i", "j"), ["i", "j"], "left_semi").where(inside_ring(F.col("i") + 0.5, F.col("j") + 0.5, F.col("ring"))).select("zone_id", "i", "j")
 
 

@@ -97,7 +97,8 @@ def mark(voxels: DataFrame, ids: DataFrame, grid: DataFrame, code: int = dims.LA
 def neighbourhood(grid: DataFrame, radius: int, value: Column, agg) -> DataFrame:
     """(i, j, out): an aggregate over the (2r+1)^2 cells around each cell of the grid."""
     steps = F.sequence(F.lit(-radius), F.lit(radius))
-    sent = grid.select((F.col("i") + F.explode(steps)).alias("i"), "j", value.alias("v")).select("i", (F.col("j") + F.explode(steps)).alias("j"), "v")
+    sent = grid.select("i", "j", value.alias("v"), F.explode(steps).alias("di")).select("i", "j", "v", "di", F.explode(steps).alias("dj"))
+    sent = sent.select((F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"), "v")
     return grid.select("i", "j").join(sent, ["i", "j"]).groupBy("i", "j").agg(agg(F.col("v")).alias("out"))
 
 

@@ -55,7 +55,7 @@ def suns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(zone_id, ring): diamonds for odd nations, rectangles for even ones."""
     k = F.col("n_nationkey")
-    x, y, r = (k * 17 % N).cast("double"), (k * 29 % N).cast("double"), (k % 5 + 3).cast("double")
+    x, y, r = (k * 17 % N + 0.25).cast("double"), (k * 29 % N).cast("double"), (k % 5 + 3).cast("double")
     at = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
     diamond = F.array(at(x - r, y), at(x, y + r), at(x + r, y), at(x, y - r))
     square = F.array(at(x - r, y - r), at(x - r, y + r), at(x + r, y + r), at(x + r, y - r))
@@ -74,6 +74,6 @@ paints AS (SELECT (o_orderkey % 48)::INT AS i, (o_custkey % 48)::INT AS j, ((o_o
 dem AS (SELECT (l_orderkey % 48)::INT AS i, (l_partkey % 48)::INT AS j, (floor(avg(l_quantity)) / 4)::DOUBLE AS z FROM lineitem GROUP BY 1, 2),
 suns AS (SELECT ts, dni, dhi, ((hour(ts) * 15 + dayofyear(ts)) % 360)::DOUBLE AS az, (60 - abs(hour(ts) - 12) * 10 + dayofyear(ts) % 5)::DOUBLE AS el FROM (
     SELECT date_trunc('hour', ts) AS ts, coalesce(sum(CASE WHEN event_type IN ('view', 'click') THEN floor(value) END), 0)::DOUBLE AS dni, floor(avg(floor(value)))::DOUBLE AS dhi FROM events GROUP BY 1)),
-zones AS (SELECT n_nationkey AS zone_id, (n_nationkey * 17 % 48)::DOUBLE AS zx, (n_nationkey * 29 % 48)::DOUBLE AS zy, (n_nationkey % 5 + 3)::DOUBLE AS zr, n_nationkey % 2 = 1 AS diamond FROM nation),
+zones AS (SELECT n_nationkey AS zone_id, (n_nationkey * 17 % 48 + 0.25)::DOUBLE AS zx, (n_nationkey * 29 % 48)::DOUBLE AS zy, (n_nationkey % 5 + 3)::DOUBLE AS zr, n_nationkey % 2 = 1 AS diamond FROM nation),
 priority AS (SELECT * FROM (VALUES (0, 7), (1, 9), (2, 10), (3, 5), (4, 11), (5, 12), (6, 4), (7, 15), (8, 3), (9, 8), (10, 13), (11, 1), (12, 2), (13, 14)) p(idx, pr))
 """
