@@ -35,7 +35,7 @@ def underground(tags: Column) -> Column:
 
 def dem_tile(text: Column, size: int = 256) -> Column:
     """Elevations of a comma-separated tile as array<array<double>>; e, blanks and faults are null."""
-    lines = F.slice(F.split(F.rtrim(text), "\n"), 1, size)
+    lines = F.slice(F.split(F.regexp_replace(text, r"\s+$", ""), "\n"), 1, size)
     return F.transform(lines, lambda line: F.transform(F.split(line, ","), lambda v: F.trim(v).try_cast("double")))
 
 
