@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from citylattice.llm import kernels as K
 from citylattice.llm.arrow import annotate, session
-from citylattice.llm.components import components
+from citylattice.operators.components import components
 from citylattice.session import cut
 
 SHINGLE, BANDS, ROWS = 5, 20, 4

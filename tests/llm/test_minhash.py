@@ -5,7 +5,7 @@ import re
 from collections import defaultdict
 
 from citylattice.llm import minhash
-from citylattice.llm.components import components
+from citylattice.operators.components import components
 from citylattice.llm.minhash import keep_one, report
 
 
