@@ -114,3 +114,24 @@ def shoelace(ring: Column) -> Column:
         return a["x"] * b["y"] - b["x"] * a["y"]
 
     return F.abs(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + term(i))) / 2
+
+
+def affine(i: Column, j: Column, origin: tuple[float, float], u: tuple[float, float], v: tuple[float, float], half: float = 0.5) -> tuple[Column, Column]:
+    """Longitude and latitude of a cell's centre in a rotated grid with unit steps u and v."""
+    a, b = i + half, j + half
+    return F.lit(origin[0]) + a * u[0] + b * v[0], F.lit(origin[1]) + a * u[1] + b * v[1]
+
+
+def cell_of(lon: Column, lat: Column, origin: tuple[float, float], u: tuple[float, float], v: tuple[float, float]) -> tuple[Column, Column]:
+    """Cell of a point in the same grid."""
+    det = u[0] * v[1] - u[1] * v[0]
+    x, y = lon - origin[0], lat - origin[1]
+    place = lambda t: F.floor(t + 1e-12).cast("int")
+    return place((x * v[1] - y * v[0]) / det), place((y * u[0] - x * u[1]) / det)
+
+
+def rotation_angle(lon0: Column, lat0: Column, lon1: Column, lat1: Column) -> Column:
+    """Clockwise bearing of a side in Web Mercator, degrees, tiny ones as 0."""
+    north = lambda lat: F.log(F.tan(F.lit(0.7853981633974483) + F.radians(lat) / 2))
+    angle = F.degrees(F.atan2(F.radians(lon1 - lon0), north(lat1) - north(lat0)))
+    return F.when(F.abs(angle) < 1e-6, 0.0).otherwise(F.round(angle, 6))

@@ -81,3 +81,66 @@ def label_groups(grid: DataFrame, value: str) -> DataFrame:
     """Dense numbers 1..n of the distinct non-zero values, by value; 0 stays."""
     found = grid.where(F.col(value) != 0).select(value).distinct().withColumn("label", F.row_number().over(Window.orderBy(value)))
     return grid.join(found, value, "left").withColumn("label", F.coalesce("label", F.lit(0)))
+
+
+def layers(grid: DataFrame, interval: int = 5, mesh: float = 1.0) -> DataFrame:
+    """(i, j, k, band, value): land cover, buildings, trees and terrain as four layers ``interval`` levels apart; heights
+    are rounded to levels and empty values are left out."""
+    level = lambda c: F.floor(F.col(c) / mesh + 0.5).cast("int")
+    bands = F.array(*[F.struct(F.lit(n).alias("band"), F.lit(n * interval).alias("k"), v.cast("int").alias("value")) for n, v in enumerate([F.col("code"), level("bh"), level("top"), level("z")])])
+    return grid.withColumn("b", F.explode(bands)).where("b.value <> 0").select("i", "j", "b.k", "b.band", "b.value")
+
+
+def covered_share(cells: DataFrame, boxes: DataFrame, least: float = 0.3) -> DataFrame:
+    """(i, j, bh, bid): of boxes (x0, y0, x1, y1 in cell units) that cover more than ``least`` of a cell, the greatest
+    height, and the id that is last when they are ordered by height, highest first."""
+    b = boxes.where("x0 < x1 and y0 < y1")
+    b = b.withColumn("i", F.explode(F.sequence(F.floor("x0"), F.ceil("x1") - 1))).withColumn("j", F.explode(F.sequence(F.floor("y0"), F.ceil("y1") - 1)))
+    side = lambda a, z, c: F.least(F.col(z), F.col(c) + 1.0) - F.greatest(F.col(a), F.col(c).cast("double"))
+    hit = b.where(side("x0", "x1", "i") * side("y0", "y1", "j") > least)
+    best = hit.groupBy("i", "j").agg(F.max("height").alias("bh"), F.max_by("id", F.struct(-F.coalesce("height", F.lit(-1.0)), "id")).alias("bid"))
+    return cells.join(best, ["i", "j"], "left").select("i", "j", F.coalesce("bh", F.lit(0.0)).alias("bh"), F.coalesce("bid", F.lit(0)).alias("bid"))
+
+
+def highest_cover(cells: DataFrame, boxes: DataFrame, value: str) -> DataFrame:
+    """(i, j, v): greatest value of the boxes that hold a cell's centre, else 0."""
+    b = boxes.withColumn("i", F.explode(F.sequence(F.floor("x0").cast("int"), F.ceil("x1").cast("int")))).withColumn("j", F.explode(F.sequence(F.floor("y0").cast("int"), F.ceil("y1").cast("int"))))
+    inside = (F.col("i") + 0.5).between(F.col("x0"), F.col("x1")) & (F.col("j") + 0.5).between(F.col("y0"), F.col("y1"))
+    most = b.where(inside).groupBy("i", "j").agg(F.max(value).alias("v"))
+    return cells.join(most, ["i", "j"], "left").select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
+def nearest_sample(cells: DataFrame, points: DataFrame, reach: int) -> DataFrame:
+    """(i, j, z): value of the nearest point (x, y, z, ord) within ``reach`` cells of a centre, the later one of equally
+    near; points are sent to the cells around them, so the work is points times (2 reach + 1)^2."""
+    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    sent = points.withColumn("di", F.explode(steps)).withColumn("dj", F.explode(steps)).select((F.floor("x") + F.col("di")).cast("int").alias("i"), (F.floor("y") + F.col("dj")).cast("int").alias("j"), "x", "y", "z", "ord")
+    far = F.pow(F.col("i") + 0.5 - F.col("x"), 2) + F.pow(F.col("j") + 0.5 - F.col("y"), 2)
+    best = sent.groupBy("i", "j").agg(F.min(F.struct(far.alias("d"), (-F.col("ord")).alias("o"), "z")).alias("b"))
+    return cells.join(best, ["i", "j"], "left").select("i", "j", F.col("b.z").alias("z"))
+
+
+def flatten_water(grid: DataFrame, water: int = 9, diagonal: bool = True) -> DataFrame:
+    """DEM of each connected water body becomes its least value."""
+    from citylattice.operators.components import components
+
+    wet = grid.where(F.col("code") == water).select("i", "j")
+    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
+    name = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    beside = wet.withColumn("d", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps])))
+    edges = beside.select(name(F.col("i"), F.col("j")).alias("u"), (F.col("i") + F.col("d.a")).alias("i"), (F.col("j") + F.col("d.b")).alias("j")).join(wet, ["i", "j"], "left_semi").select("u", name(F.col("i"), F.col("j")).alias("v"))
+    bodies = components(edges).select(F.col("node.i").alias("i"), F.col("node.j").alias("j"), "root")
+    joined = grid.join(bodies, ["i", "j"], "left")
+    low = joined.where("root is not null").groupBy("root").agg(F.min("z").alias("low"))
+    return joined.join(low, "root", "left").withColumn("z", F.coalesce("low", "z")).drop("root", "low")
+
+
+def sanitise_canopy(grid: DataFrame, replacement: float = 10.0, least: float = 2.0, most: float = 35.0, tolerance: float = 1.0) -> DataFrame:
+    """Canopy (top) on tree cells: none below ``least`` becomes the replacement, what is above ``most`` is cut, and a crown
+    as high as a building beside it is taken for the roof and replaced."""
+    from citylattice.operators.voxels import neighbourhood
+
+    roof = neighbourhood(grid, 1, F.col("bh"), F.max).withColumnRenamed("out", "roof")
+    t = F.when(F.col("top") < least, replacement).when(F.col("top") > most, most).otherwise(F.col("top"))
+    leak = (F.col("roof") > 0) & (F.abs(t - F.col("roof")) <= tolerance)
+    return grid.join(roof, ["i", "j"]).withColumn("top", F.when(F.col("tree"), F.when(leak, replacement).otherwise(t)).otherwise(0.0)).drop("roof")

@@ -40,18 +40,18 @@ def _planes(o: Column, d: Column, n: Column) -> Column:
     return F.coalesce(ahead, back, F.array().cast("array<double>"))
 
 
-def pieces(observers: DataFrame, rays: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+def pieces(observers: DataFrame, rays: DataFrame, shape: tuple[int, int, int], carry: tuple = ()) -> DataFrame:
     """(i, j, ray, n, vi, vj, vk, length): the voxels of each ray in order, from observers (i, j, k)."""
     ni, nj, nk = shape
     out = F.least(*[F.when(F.col(d) > 1e-9, (n - 0.5 - F.col(o)) / F.col(d)).when(F.col(d) < -1e-9, (F.col(o) + 0.5) / -F.col(d)).otherwise(F.lit(1e18)) for o, d, n in (("i", "dx", ni), ("j", "dy", nj), ("k", "dz", nk))])
     cast = observers.where("k is not null").join(F.broadcast(rays))
     cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0)), *[_planes(F.col(o), F.col(d), F.lit(n)) for o, d, n in (("i", "dx", ni), ("j", "dy", nj), ("k", "dz", nk))])))
     bounded = cast.withColumn("far", out).withColumn("cuts", cuts).withColumn("cuts", F.filter("cuts", lambda t: t <= F.col("far") + 1e-9))
-    each = bounded.select("i", "j", "k", "ray", "dx", "dy", "dz", "cuts", F.posexplode(F.slice("cuts", F.lit(1), F.size("cuts") - 1)).alias("n", "t"))
+    each = bounded.select(*carry, "i", "j", "k", "ray", "dx", "dy", "dz", "cuts", F.posexplode(F.slice("cuts", F.lit(1), F.size("cuts") - 1)).alias("n", "t"))
     nxt = F.get("cuts", F.col("n") + 1)
     mid = (F.col("t") + nxt) / 2
     at = [F.floor(F.col(o) + 0.5 + F.col(d) * mid).cast("int").alias(v) for o, d, v in (("i", "dx", "vi"), ("j", "dy", "vj"), ("k", "dz", "vk"))]
-    return each.select("i", "j", "ray", "n", *at, (nxt - F.col("t")).alias("length"))
+    return each.select(*carry, "i", "j", "ray", "n", *at, (nxt - F.col("t")).alias("length"))
 
 
 def view(observers: DataFrame, rays: DataFrame, columns: DataFrame, shape: tuple[int, int, int], targets: tuple = (0,), inclusion: bool = False, tree_k: float = 0.6, lad: float = 1.0, mesh: float = 1.0) -> DataFrame:
@@ -93,3 +93,50 @@ def landmark_visible(observers: DataFrame, landmarks: DataFrame, columns: DataFr
     blocked = steps.select("i", "j", "target", *at).join(side, ["vi", "vj"]).where(F.coalesce(F.get("codes", F.col("vk")), F.lit(0)) != 0).select("i", "j", "target").distinct()
     seen = pairs.select("i", "j", "target").join(blocked, ["i", "j", "target"], "left_anti").select("i", "j").distinct().withColumn("visible", F.lit(1))
     return observers.select("i", "j", "k").join(seen, ["i", "j"], "left").select("i", "j", F.when(F.col("k").isNotNull(), F.coalesce("visible", F.lit(0))).alias("visible"))
+
+
+def transmissions(observers: DataFrame, rays: DataFrame, columns: DataFrame, shape: tuple[int, int, int], tree_k: float = 0.6, lad: float = 1.0, mesh: float = 1.0) -> DataFrame:
+    """(i, j, ray, through): what trees let through of each ray to the sky, 0 where something solid stands in the way."""
+    side = columns.select(F.col("i").alias("vi"), F.col("j").alias("vj"), "codes")
+    code = F.coalesce(F.get("codes", F.col("vk")), F.lit(dims.AIR))
+    steps = pieces(observers, rays, shape).join(side, ["vi", "vj"]).withColumn("code", code)
+    got = steps.groupBy("i", "j", "ray").agg(F.bool_or(~F.col("code").isin(dims.AIR, dims.TREE)).alias("stop"), F.coalesce(F.sum(F.when(F.col("code") == dims.TREE, F.col("length"))), F.lit(0.0)).alias("depth"))
+    through = F.exp(-tree_k * lad * mesh * F.col("depth"))
+    return got.select("i", "j", "ray", F.when(F.col("stop") | (through < CUTOFF), 0.0).otherwise(through).alias("through"))
+
+
+def face_openness(faces: DataFrame, rays: DataFrame, columns: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """(i, j, k, di, dj, dk, value): cosine-weighted share of the sky that each face (as of ``voxels.faces``) sees, from the
+    voxel before it; rays from behind the face count nothing."""
+    key = ["i", "j", "k", "di", "dj", "dk"]
+    front = faces.select(*[F.col(c).alias(f"f_{c}") for c in key], *[(F.col(a) + F.col(b)).alias(a) for a, b in (("i", "di"), ("j", "dj"), ("k", "dk"))])
+    ni, nj, nk = shape
+    inner = front.where(F.col("i").between(0, ni - 1) & F.col("j").between(0, nj - 1) & F.col("k").between(0, nk - 1))
+    places = inner.select("i", "j", "k").distinct()
+    side = columns.select(F.col("i").alias("vi"), F.col("j").alias("vj"), "codes")
+    # a place is named by one number in the ray operator's first key
+    named = places.select((F.col("i") * nk + F.col("k")).alias("slot"), "i", "j", "k")
+    cast = pieces_from(named, rays, shape).join(side, ["vi", "vj"]).withColumn("code", F.coalesce(F.get("codes", F.col("vk")), F.lit(dims.AIR)))
+    seen = cast.groupBy("slot", "j", "ray").agg(F.bool_or(~F.col("code").isin(dims.AIR, dims.TREE)).alias("stop"))
+    cosine = F.col("f_di") * F.col("dx") + F.col("f_dj") * F.col("dy") + F.col("f_dk") * F.col("dz")
+    lit = inner.withColumn("slot", F.col("i") * nk + F.col("k")).join(seen, ["slot", "j"]).join(F.broadcast(rays), "ray").where((cosine > 1e-9) & (F.col("dz") > 0))
+    return lit.groupBy(*[f"f_{c}" for c in key]).agg((F.sum(F.when(~F.col("stop"), cosine)) / F.sum(cosine)).alias("value")).select(*[F.col(f"f_{c}").alias(c) for c in key], F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def pieces_from(places: DataFrame, rays: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """``pieces`` for places (slot, i, j, k), of which several may stand in one column; slot takes the place of i."""
+    got = pieces(places.select("i", "j", "k", "slot"), rays, shape, carry=("slot",))
+    return got.select("slot", "j", "ray", "n", "vi", "vj", "vk", "length")
+
+
+def reflect(direct: DataFrame, links: DataFrame, bounces: int = 3) -> DataFrame:
+    """(surface, total): direct (surface, flux, albedo) and what comes over links (source, target, share) in a few bounces;
+    links of a share of 0.01 or less count nothing. Each bounce is one join and one sum, and cuts its lineage."""
+    from citylattice.session import cut
+
+    out = direct.select("surface", F.col("flux").alias("total"), (F.col("flux") * F.col("albedo")).alias("leaving"), "albedo")
+    strong = links.where("share > 0.01")
+    for _ in range(bounces):
+        gain = out.select(F.col("surface").alias("source"), "leaving").where("leaving > 0.01").join(strong, "source").groupBy(F.col("target").alias("surface")).agg(F.sum(F.col("leaving") * F.col("share")).alias("gain"))
+        out = cut(out.join(gain, "surface", "left").select("surface", (F.col("total") + F.coalesce("gain", F.lit(0.0))).alias("total"), (F.coalesce("gain", F.lit(0.0)) * F.col("albedo")).alias("leaving"), "albedo"))
+    return out.select("surface", "total")

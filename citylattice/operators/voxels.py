@@ -107,3 +107,65 @@ def ground_level(columns: DataFrame, default: int = 0) -> DataFrame:
     codes = F.col("codes")
     air = F.array_min(F.filter(F.sequence(F.lit(0), F.size(codes) - 1), lambda k: F.get(codes, k) == 0))
     return columns.select("i", "j", F.coalesce(F.greatest(air - 1, F.lit(default)), F.size(codes) - 1).alias("k"))
+
+
+def downsample(voxels: DataFrame, stride: int) -> DataFrame:
+    """(i, j, k, code): every stride-th column; of each stride of levels the topmost voxel that is not air."""
+    kept = voxels.where((F.col("i") % stride == 0) & (F.col("j") % stride == 0))
+    new = [(F.floor(F.col(c) / stride)).cast("int").alias(c) for c in ("i", "j", "k")]
+    return kept.select(*new, F.col("k").alias("k0"), "code").groupBy("i", "j", "k").agg(F.coalesce(F.max_by(F.when(F.col("code") != 0, F.col("code")), F.when(F.col("code") != 0, F.col("k0"))), F.lit(0)).alias("code"))
+
+
+def occluded_faces(voxels: DataFrame) -> DataFrame:
+    """(code, n): faces of each class whose neighbour is empty, any voxel but air hiding what is behind."""
+    columns = packed(voxels)
+    mine = columns.select("i", "j", F.posexplode("codes").alias("k", "code"), F.col("codes").alias("own")).where("code <> 0")
+    steps = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj"), F.lit(c).alias("dk")) for a, b, c in DIRECTIONS])
+    side = columns.select(F.col("i").alias("__i"), F.col("j").alias("__j"), F.col("codes").alias("beside"))
+    joined = mine.withColumn("d", F.explode(steps)).select("code", "k", "d.*", "i", "j").join(side, (F.col("i") + F.col("di") == F.col("__i")) & (F.col("j") + F.col("dj") == F.col("__j")), "left")
+    other = F.coalesce(F.get("beside", F.col("k") + F.col("dk")), F.lit(0))
+    return joined.where((F.col("k") + F.col("dk") < 0) | (other == 0)).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def follow_terrain(columns: DataFrame, values: DataFrame, offset: int) -> DataFrame:
+    """(i, j, value): of values (i, j, k, value), the one ``offset`` levels above the standing height; null where there is
+    none or the place is solid."""
+    at = observers(columns).select("i", "j", (F.col("k") + offset).alias("k"))
+    solid = columns.select("i", "j", "codes")
+    joined = at.join(solid, ["i", "j"]).join(values, ["i", "j", "k"], "left")
+    free = F.get("codes", F.col("k")).isin(*OPEN)
+    return joined.select("i", "j", F.when(free, F.col("value")).alias("value"))
+
+
+def paired_hits(hits: DataFrame) -> DataFrame:
+    """(i, j, k0, k1): filled levels of each column from the heights at which a mesh crosses it: sorted crossings are taken
+    in pairs, an odd number as the first and the last."""
+    by = Window.partitionBy("i", "j")
+    n = hits.withColumn("rn", F.row_number().over(by.orderBy("z"))).withColumn("n", F.count(F.lit(1)).over(by))
+    even = n.where("n % 2 = 0").groupBy("i", "j", F.floor((F.col("rn") + 1) / 2).alias("pair")).agg(F.min("z").alias("a"), F.max("z").alias("b"))
+    odd = n.where("n % 2 = 1 and n > 1").groupBy("i", "j", F.lit(0).cast("long").alias("pair")).agg(F.min("z").alias("a"), F.max("z").alias("b"))
+    spans_ = even.union(odd).select("i", "j", F.floor(F.col("a") + 0.5).cast("int").alias("k0"), F.floor(F.col("b") + 0.5).cast("int").alias("k1"))
+    return spans_.where("k0 < k1")
+
+
+def rectangles(faces_: DataFrame) -> DataFrame:
+    """(plane, a0, b0, a1, b1): greedy rectangles over the faces (plane, a, b) of one plane each, row by row: the widest run
+    of a row, then down as long as whole rows are free. A plane of a building is a bounded group."""
+    import pandas as pd
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, out, plane = set(zip(pdf.a.tolist(), pdf.b.tolist())), [], pdf.plane.iloc[0]
+        for a, b in sorted(left):
+            if (a, b) not in left:
+                continue
+            b1 = b
+            while (a, b1) in left:
+                b1 += 1
+            a1 = a + 1
+            while all((a1, x) in left for x in range(b, b1)):
+                a1 += 1
+            left -= {(x, y) for x in range(a, a1) for y in range(b, b1)}
+            out.append((plane, a, b, a1, b1))
+        return pd.DataFrame(out, columns=["plane", "a0", "b0", "a1", "b1"])
+
+    return faces_.groupBy("plane").applyInPandas(merge, "plane string, a0 int, b0 int, a1 int, b1 int")

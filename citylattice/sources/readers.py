@@ -60,3 +60,35 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     schema = "struct<properties:struct<height:double>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>"
     parsed = spark.read.text(path).select(F.from_json("value", schema).alias("f")).where("f.geometry.coordinates is not null")
     return parsed.select(F.coalesce("f.properties.height", F.lit(0.0)).alias("height"), F.transform(F.get("f.geometry.coordinates", 0), lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y"))).alias("ring"))
+
+
+# Land-cover class of map tags, the first rule that fits decides.
+TAG_RULES = [
+    ("building", None, 13), ("highway", None, 12), ("natural", "water", 9), ("waterway", None, 9), ("landuse", "reservoir", 9), ("natural", "wetland", 7), ("natural", "wood", 5), ("landuse", "forest", 5), ("landuse", "farmland", 4), ("landuse", "orchard", 4),
+    ("natural", "scrub", 3), ("landuse", "grass", 2), ("leisure", "park", 2), ("natural", "sand", 1), ("natural", "glacier", 10), ("landuse", "residential", 11), ("landuse", "commercial", 11), ("landuse", "industrial", 11),
+]
+
+
+def classify_tags(tags: Column) -> Column:
+    """Standard class of map tags, null where no rule fits. area:highway is road."""
+    value = lambda k: F.try_element_at(tags, F.lit(k))
+    fits = [(value(k).isNotNull() if v is None else value(k) == v, c) for k, v, c in TAG_RULES]
+    out = F.when(value("area:highway").isNotNull(), 12)
+    for hit, code in fits:
+        out = out.when(hit, code)
+    return out
+
+
+def is_area(tags: Column, nodes: Column) -> Column:
+    """Whether a closed way is a polygon."""
+    has = lambda k: F.try_element_at(tags, F.lit(k)).isNotNull()
+    closed = (F.size(nodes) > 2) & (F.get(nodes, 0) == F.element_at(nodes, -1))
+    return closed & (has("building") | (F.coalesce(F.try_element_at(tags, F.lit("area")), F.lit("")) == "yes") | has("landuse") | has("natural") | has("water") | has("leisure") | has("amenity"))
+
+
+def way_points(ways: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(way, ring): coordinates of ways (way, nodes array<long>) in order; a way that misses a node is empty."""
+    each = ways.select("way", F.posexplode("nodes").alias("pos", "node"))
+    joined = each.join(nodes.select("node", "lon", "lat"), "node", "left")
+    got = joined.groupBy("way").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("lon").alias("x"), F.col("lat").alias("y")))).alias("p"), F.count_if(F.col("lon").isNull()).alias("gaps"))
+    return got.select("way", F.when(F.col("gaps") == 0, F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y")))).otherwise(F.array().cast("array<struct<x:double,y:double>>")).alias("ring"))
