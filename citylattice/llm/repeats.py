@@ -7,11 +7,13 @@ one anchor are consecutive, so that an anchor with its whole context stands for
 1. Anchors are counted by hash and by context over all documents. An anchor that occurs once settles its windows: they
    occur once. A context that occurs twice settles its windows too: they are repeated.
 2. What is left are contexts that occur once while their anchor occurs elsewhere, at the borders of repeated passages.
-   Their windows, and those of one holder of each repeated context of the same anchor, are compared one by one by 128
-   bits: two polynomial hashes with independent bases, the second one verifying the first.
+   These, and one holder of each repeated context of the same anchor, meet by anchor, and their windows are compared by
+   128 bits: two polynomial hashes with independent bases, the second one verifying the first. Windows are sorted by
+   hash, not compared in pairs. The contexts of an anchor that has more than ``CHUNK`` of them are split, and their
+   windows also meet by hash over all tasks.
 
-Nothing is compared in pairs and no group has to fit into a task: both steps are counts. A filter of fixed size says
-which anchors can be repeated, so that the second reading gives few rows; it never decides.
+No group has to fit into a task. A filter of fixed size says which anchors can be repeated, so that the second reading
+gives few rows; it never decides.
 
 A document is known by its id and the hash of its text, so rows that repeat both share their result and count as two.
 Null and empty texts have no bytes. Texts shorter than ``LENGTH`` keep all.
@@ -33,6 +35,8 @@ from citylattice.session import cut
 
 LENGTH, GRAM = 200, 40
 FILTER_BITS = 26
+#: Contexts of one anchor that are compared in one group, and contexts that are compared in one go.
+CHUNK, WORK = 16384, 4096
 U64 = np.uint64
 
 
@@ -107,22 +111,80 @@ def _occurrences(bits: np.ndarray):
     return run
 
 
-def _windows(batches):
-    """128 bits of every window in the ranges of each text."""
+def _contexts(batches):
+    """The bytes under the windows of each range of a text."""
     for batch in batches:
         ids, th, column, ranges = (batch.column(i) for i in range(4))
-        for lo, hi, data, offs in K.slices(column):
-            one, two = K.FIRST.prefix(data), K.SECOND.prefix(data)
-            rows, at, open_ = [], [], []
-            for i in range(lo, hi):
-                for r in ranges[i].as_py():
-                    p = np.arange(r["first"], r["last"] + 1)
-                    rows.append(np.full(len(p), i))
-                    at.append(p + offs[i - lo])
-                    open_.append(np.full(len(p), r["open"]))
-            rows, at, open_ = map(np.concatenate, (rows, at, open_))
-            start = pa.array((at - offs[rows - lo]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), th.take(pa.array(rows)), start, pa.array(open_), _signed(K.mix(K.FIRST.spans(one, at, at + LENGTH))), _signed(K.mix(K.SECOND.spans(two, at, at + LENGTH)))], names=["id", "th", "at", "open", "h1", "h2"])
+        data, offs = K.text_buffers(column)
+        counts = np.diff(ranges.offsets.to_numpy())
+        rows, inner = np.repeat(np.arange(batch.num_rows), counts), ranges.flatten()
+        first, last = inner.field("first").to_numpy(), inner.field("last").to_numpy()
+        size = (last - first + LENGTH).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(ends[-1]) - np.repeat(ends[:-1] - (offs[rows] + first), size)
+        raw = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[at])])
+        yield pa.RecordBatch.from_arrays([inner.field("a"), inner.field("chunk"), inner.field("chunks"), ids.take(pa.array(rows)), th.take(pa.array(rows)), inner.field("first"), inner.field("open"), raw], names=CONTEXT.names)
+
+
+CONTEXT = T.StructType([T.StructField("a", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("chunks", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("th", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("open", T.BooleanType()), T.StructField("raw", T.BinaryType())])
+
+
+def _hashed(raw: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start in the row, and both hashes of every window of a binary column."""
+    data, offs = K.text_buffers(raw)
+    n = np.diff(offs) - LENGTH + 1
+    row = np.repeat(np.arange(len(n)), n)
+    start = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    at = start + offs[row]
+    return row, start, K.mix(K.FIRST.spans(K.FIRST.prefix(data), at, at + LENGTH)), K.mix(K.SECOND.spans(K.SECOND.prefix(data), at, at + LENGTH))
+
+
+def _marked_runs(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Runs of repeated windows in the open contexts of a batch; what is equal here is equal anywhere."""
+    row, start, h1, h2 = _hashed(batch.column(7))
+    order = np.lexsort((h2, h1))
+    same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+    twice = np.zeros(len(row), dtype=bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    twice &= batch.column(6).to_numpy(zero_copy_only=False)[row]
+    at = np.flatnonzero(twice)
+    new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])]) if len(at) else np.zeros(0, bool)
+    heads = at[new]
+    tails = at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)] if len(at) else at
+    where, base = pa.array(row[heads]), batch.column(5).to_numpy()[row[heads]]
+    return pa.RecordBatch.from_arrays([batch.column(3).take(where), batch.column(4).take(where), pa.array((base + start[heads]).astype(np.int32)), pa.array((base + start[tails] + LENGTH).astype(np.int32))], names=["id", "th", "first", "end"])
+
+
+def _compared(batches):
+    """Contexts that come sorted by anchor and chunk, compared within each; a group is never cut in two."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, chunk = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if held and size >= WORK:
+            last = held[-1]
+            apart = np.flatnonzero((a != last.column(0)[-1].as_py()) | (chunk != last.column(1)[-1].as_py()))
+            cut_at = int(apart[0]) if len(apart) else batch.num_rows
+            held.append(batch.slice(0, cut_at))
+            if cut_at < batch.num_rows:
+                yield _marked_runs(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                held, size = [], 0
+            batch = batch.slice(cut_at)
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+    if held:
+        yield _marked_runs(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
+def _spread(batches):
+    """Every window of contexts with its place and hashes."""
+    for batch in batches:
+        row, start, h1, h2 = _hashed(batch.column(7))
+        where, base = pa.array(row), batch.column(5).to_numpy()[row]
+        yield pa.RecordBatch.from_arrays([batch.column(3).take(where), batch.column(4).take(where), pa.array((base + start).astype(np.int32)), batch.column(6).take(where), _signed(h1), _signed(h2)], names=["id", "th", "first", "open", "h1", "h2"])
 
 
 FIELDS = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())])
@@ -166,21 +228,30 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     given = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text")).where(F.octet_length("text") >= LENGTH)
     counted = given.select("text").mapInArrow(_counted, "a long, c long, n long").repartition("a")
     contexts = counted.groupBy("a", "c").agg(F.sum("n").alias("n"))
-    often = contexts.groupBy("a").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where("all > 1").select("a", (F.col("kinds") > 1).alias("mixed"))
+    often = contexts.groupBy("a").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where("all > 1").select("a", "kinds")
     known = cut(contexts.join(often, "a"))
     bits = _filter_of(known.select("a"))
     seen = given.mapInArrow(_occurrences(bits), "id long, th long, a long, c long, first int, last int")
-    found = cut(seen.join(known, ["a", "c"]).select("id", "th", "a", "c", "first", "last", (F.col("n") > 1).alias("settled"), "mixed"))
-    # windows to be compared: of contexts that occur once, and of one holder of each other context of a mixed anchor
-    mixed = found.where("mixed")
-    once = mixed.where("not settled").select("id", "th", "first", "last", F.lit(True).alias("open"))
-    held = mixed.where("settled").groupBy("a", "c").agg(F.min(F.struct("id", "th", "first", "last")).alias("m")).select("m.*", F.lit(False).alias("open"))
-    ranges = cut(once.unionByName(held).groupBy("id", "th").agg(F.collect_list(F.struct("first", "last", "open")).alias("ranges")))
+    found = cut(seen.join(known, ["a", "c"]).select("id", "th", "a", "c", "first", "last", "kinds", (F.col("n") > 1).alias("settled")))
+    # to be compared: contexts that occur once, and one holder of each other context of the same anchor
+    mixed = found.where("kinds > 1")
+    place = F.struct("id", "th", "first", "last")
+    held = mixed.where("settled").groupBy("a", "c", "kinds").agg(F.min(place).alias("m")).select("m.*", "a", "c", "kinds", F.lit(False).alias("open"))
+    asked = mixed.where("not settled").select("id", "th", "first", "last", "a", "c", "kinds", F.lit(True).alias("open")).unionByName(held)
+    chunks = F.ceil(F.col("kinds") / CHUNK).cast("int")
+    asked = asked.withColumn("chunks", chunks).withColumn("chunk", F.pmod("c", F.col("chunks")).cast("int"))
+    ranges = cut(asked.groupBy("id", "th").agg(F.collect_list(F.struct("first", "last", "open", "a", "chunk", "chunks")).alias("ranges")))
     same = given["id"].eqNullSafe(ranges["id"]) & (given["th"] == ranges["th"])
-    windows = cut(given.join(ranges, same).select(given["id"], given["th"], "text", "ranges").mapInArrow(_windows, "id long, th long, at int, open boolean, h1 long, h2 long"))
-    twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    more = windows.where("open").join(twice, ["h1", "h2"]).select("id", "th", F.col("at").alias("first"), (F.col("at") + LENGTH).alias("end"))
+    cuts = given.join(ranges, same).select(given["id"], given["th"], "text", "ranges").mapInArrow(_contexts, CONTEXT)
+    near = cut(cuts)
+    runs = "id long, th long, first int, end int"
+    more = near.repartition("a", "chunk").sortWithinPartitions("a", "chunk").mapInArrow(_compared, runs)
     marks = found.where("settled").select("id", "th", "first", (F.col("last") + LENGTH).alias("end")).unionByName(more)
+    wide = near.where("chunks > 1")
+    if not wide.isEmpty():  # groups beyond one chunk: their windows meet by hash
+        windows = cut(wide.mapInArrow(_spread, "id long, th long, first int, open boolean, h1 long, h2 long"))
+        twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
+        marks = marks.unionByName(windows.where("open").join(twice, ["h1", "h2"]).select("id", "th", "first", (F.col("first") + LENGTH).alias("end")))
     return marks.groupBy("id", "th").agg(F.collect_list("first").alias("firsts"), F.collect_list("end").alias("ends"))
 
 

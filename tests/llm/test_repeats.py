@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+from citylattice.llm import repeats
 from citylattice.llm.repeats import LENGTH, remove, report
 
 
@@ -49,6 +50,14 @@ def test_equals_brute_force(spark):
     assert report(docs.limit(0)).count() == 0
 
 
+def test_split_groups_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK", 3)
+    monkeypatch.setattr(repeats, "WORK", 2)
+    data = cases()
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert rows(report(docs)) == brute(data)
+
+
 def test_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     assert rows(report(docs)) == brute([tuple(r) for r in docs.collect()])
