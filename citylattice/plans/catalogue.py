@@ -506,3 +506,199 @@ def landuse_hist(spark, d):
 def land_cover_albedo(spark, d):
     c = (F.col("o_orderkey") % 16 - 2).cast("int")
     return A.table(spark, d, "orders").select(c.alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).withColumn("albedo", exprs.albedo(F.col("code")))
+
+
+# --- further grids ----------------------------------------------------------------------------------------------------
+
+
+@query(f"{SMALL_SQL}, b AS (SELECT i, j, 0 AS k, 0 AS band, lc AS value FROM small UNION ALL SELECT i, j, 5, 1, bh FROM small UNION ALL SELECT i, j, 10, 2, CASE WHEN tree THEN 4 ELSE 0 END FROM small) SELECT band, k, count(*) AS n, sum(value)::BIGINT AS total FROM b WHERE value <> 0 GROUP BY 1, 2")
+def voxel_components(spark, d):
+    return raster.layers(small_city(spark, d)).groupBy("band", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("value").cast("long").alias("total"))
+
+
+BOXES = "box AS (SELECT id, height, i0 + (id % 4) / 4.0::DOUBLE AS x0, j0 + (id % 3) / 4.0::DOUBLE AS y0, least(i1 + (id % 5) / 8.0::DOUBLE, 48.0) AS x1, least(j1 + (id % 7) / 8.0::DOUBLE, 48.0) AS y1 FROM buildings WHERE i0 < i1 AND j0 < j1)"
+
+
+def _boxes(spark, d):
+    i = F.col("id")
+    return A.buildings(spark, d).where("i0 < i1 and j0 < j1").select("id", "height", (F.col("i0") + i % 4 / 4.0).alias("x0"), (F.col("j0") + i % 3 / 4.0).alias("y0"), F.least(F.col("i1") + i % 5 / 8.0, F.lit(48.0)).alias("x1"), F.least(F.col("j1") + i % 7 / 8.0, F.lit(48.0)).alias("y1"))
+
+
+@query(f"{BOXES}, hit AS (SELECT c.i, c.j, b.id, b.height FROM cells c JOIN box b ON b.x0 < b.x1 AND b.y0 < b.y1 AND x0 < c.i + 1 AND x1 > c.i AND y0 < c.j + 1 AND y1 > c.j AND (least(x1, c.i + 1.0) - greatest(x0, c.i)) * (least(y1, c.j + 1.0) - greatest(y0, c.j)) > 0.3) SELECT c.i, c.j, coalesce(h.bh, 0.0)::DOUBLE AS bh, coalesce(h.bid, 0)::BIGINT AS bid FROM cells c LEFT JOIN (SELECT i, j, max(height) AS bh, arg_max(id, (-coalesce(height, -1.0), id)) AS bid FROM hit GROUP BY 1, 2) h USING (i, j)")
+def bld_raster_overlap30(spark, d):
+    return raster.covered_share(A.cells(spark), _boxes(spark, d))
+
+
+@query(f"{BOXES} SELECT c.i, c.j, coalesce(max(b.height), 0.0)::DOUBLE AS v FROM cells c LEFT JOIN box b ON c.i + 0.5 BETWEEN x0 AND x1 AND c.j + 0.5 BETWEEN y0 AND y1 GROUP BY 1, 2")
+def veg_max_join(spark, d):
+    return raster.highest_cover(A.cells(spark), _boxes(spark, d), "height")
+
+
+@query("pt AS (SELECT s_suppkey AS ord, (s_suppkey * 11 % 48 + 0.25)::DOUBLE AS x, (s_suppkey * 5 % 48 + 0.75)::DOUBLE AS y, s_nationkey::DOUBLE AS z FROM supplier), near AS (SELECT c.i, c.j, p.*, (c.i + 0.5 - x) * (c.i + 0.5 - x) + (c.j + 0.5 - y) * (c.j + 0.5 - y) AS dd FROM cells c JOIN pt p ON abs(c.i - floor(x)) <= 6 AND abs(c.j - floor(y)) <= 6) SELECT c.i, c.j, n.z FROM cells c LEFT JOIN (SELECT i, j, arg_min(z, (dd, -ord)) AS z FROM near GROUP BY 1, 2) n USING (i, j)")
+def dem_nearest(spark, d):
+    s = F.col("s_suppkey")
+    p = A.table(spark, d, "supplier").select(s.alias("ord"), (s * 11 % N + 0.25).cast("double").alias("x"), (s * 5 % N + 0.75).cast("double").alias("y"), F.col("s_nationkey").cast("double").alias("z"))
+    return raster.nearest_sample(A.cells(spark), p, 6)
+
+
+WET = "wet AS (SELECT i, j, CASE WHEN (i // 3 + j // 4) % 3 = 0 THEN 9 ELSE 1 END AS code, ((i * 7 + j * 5) % 23)::DOUBLE AS z FROM cells WHERE i < 12 AND j < 12)"
+
+
+@query(f"{WET}, w AS (SELECT i, j, z FROM wet WHERE code = 9), r AS (WITH RECURSIVE reach(si, sj, i, j) AS (SELECT i, j, i, j FROM w UNION SELECT r.si, r.sj, w.i, w.j FROM reach r JOIN w ON abs(w.i - r.i) <= 1 AND abs(w.j - r.j) <= 1) SELECT * FROM reach), low AS (SELECT si AS i, sj AS j, min(w.z) AS z FROM r JOIN w ON w.i = r.i AND w.j = r.j GROUP BY 1, 2) SELECT wet.i, wet.j, coalesce(low.z, wet.z) AS z FROM wet LEFT JOIN low USING (i, j)")
+def dem_water_flatten(spark, d):
+    g = A.cells(spark).where("i < 12 and j < 12").select("i", "j", F.when((F.floor(F.col("i") / 3) + F.floor(F.col("j") / 4)) % 3 == 0, 9).otherwise(1).alias("code"), ((F.col("i") * 7 + F.col("j") * 5) % 23).cast("double").alias("z"))
+    return raster.flatten_water(g).select("i", "j", "z")
+
+
+@query(f"{SMALL_SQL}, g AS (SELECT i, j, bh, (i * 3 + j * 7) % 5 = 0 AS t, ((i * 13 + j * 17) % 45)::DOUBLE AS top FROM small), r AS (SELECT a.i, a.j, max(b.bh) AS roof FROM g a JOIN g b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 GROUP BY 1, 2), c AS (SELECT *, CASE WHEN top < 2 THEN 10.0 WHEN top > 35 THEN 35.0 ELSE top END AS u FROM g JOIN r USING (i, j)) SELECT i, j, CASE WHEN t THEN CASE WHEN roof > 0 AND abs(u - roof) <= 1 THEN 10.0 ELSE u END ELSE 0.0 END::DOUBLE AS top FROM c")
+def canopy_sanitize(spark, d):
+    i, j = F.col("i"), F.col("j")
+    g = small_city(spark, d).select("i", "j", "bh", ((i * 3 + j * 7) % 5 == 0).alias("tree"), ((i * 13 + j * 17) % 45).cast("double").alias("top"))
+    return raster.sanitise_canopy(g).select("i", "j", "top")
+
+
+@query("SELECT i, j, round(139.5 + (i + 0.5) * 0.0001 + (j + 0.5) * 0.00002, 9) AS lon, round(35.5 + (i + 0.5) * -0.00001 + (j + 0.5) * 0.0002, 9) AS lat FROM cells")
+def affine_cells(spark, d):
+    lon, lat = exprs.affine(F.col("i"), F.col("j"), (139.5, 35.5), (0.0001, -0.00001), (0.00002, 0.0002))
+    return A.cells(spark).select("i", "j", F.round(lon, 9).alias("lon"), F.round(lat, 9).alias("lat"))
+
+
+@query("SELECT c_custkey, floor((c_custkey % 97 * 0.25 * 2.0 - c_custkey % 89 * 0.5 * 0.5) / 2.25 + 1e-12)::INT AS i, floor((c_custkey % 89 * 0.5 * 1.0 - c_custkey % 97 * 0.25 * -0.5) / 2.25 + 1e-12)::INT AS j FROM customer")
+def lonlat_to_cell(spark, d):
+    k = F.col("c_custkey")
+    i, j = exprs.cell_of(100.0 + k % 97 * 0.25, 50.0 + k % 89 * 0.5, (100.0, 50.0), (1.0, -0.5), (0.5, 2.0))
+    return A.table(spark, d, "customer").select("c_custkey", i.alias("i"), j.alias("j"))
+
+
+@query("SELECT c_custkey, round(degrees(atan2(radians((c_custkey % 17 - 8) / 100.0), ln(tan(pi() / 4 + radians(35.0 + (c_custkey % 13 + 1) / 100.0) / 2)) - ln(tan(pi() / 4 + radians(35.0) / 2)))), 6) + 0.0 AS angle FROM customer")
+def grid_rotation(spark, d):
+    k = F.col("c_custkey")
+    return A.table(spark, d, "customer").select("c_custkey", (exprs.rotation_angle(F.lit(139.0), F.lit(35.0), 139.0 + (k % 17 - 8) / 100.0, 35.0 + (k % 13 + 1) / 100.0) + 0.0).alias("angle"))
+
+
+@query("x AS (SELECT c_custkey AS id, (c_custkey * 37 % 1024)::INT AS x, (c_custkey * 91 % 1024)::INT AS y FROM customer) SELECT id, (SELECT string_agg((((x // (1 << b)::INT) % 2) + ((y // (1 << b)::INT) % 2) * 2)::INT::VARCHAR, '' ORDER BY b DESC) FROM range(10) t(b)) AS key FROM x")
+def tile_quadkey(spark, d):
+    k = F.col("c_custkey")
+    return A.table(spark, d, "customer").select(k.alias("id"), exprs.quadkey((k * 37 % 1024).cast("int"), (k * 91 % 1024).cast("int"), 10).alias("key"))
+
+
+@query(f"{SMALL_SQL}, {FACES}, z AS (SELECT zone_id, c.i, c.j FROM zones JOIN cells c ON CASE WHEN diamond THEN abs(c.i + 0.5 - zx) + abs(c.j + 0.5 - zy) < zr ELSE abs(c.i + 0.5 - zx) < zr AND abs(c.j + 0.5 - zy) < zr END) SELECT zone_id, count(*) AS cell_count, count(*) AS valid_count, round(avg(k), 6) AS mean, min(k)::DOUBLE AS min, max(k)::DOUBLE AS max, round(stddev_pop(k), 6) AS std FROM z JOIN face USING (i, j) GROUP BY 1")
+def zone_stats_faces(spark, d):
+    f = voxels.faces(_small_voxels(spark, d)).withColumn("k", F.col("k").cast("double"))
+    s = vectors.zone_stats(vectors.zone_cells(A.cells(spark), A.zones(spark, d)), f, "k")
+    return s.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+
+
+@query(f"{SMALL_SQL}, top AS (SELECT i // 2 AS i, j // 2 AS j, k // 2 AS k, coalesce(arg_max(code, k) FILTER (code <> 0), 0)::INT AS code FROM vox WHERE i % 2 = 0 AND j % 2 = 0 GROUP BY 1, 2, 3) SELECT code, count(*) AS n FROM top GROUP BY 1")
+def surface_downsample(spark, d):
+    return voxels.downsample(_small_voxels(spark, d), 2).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{SMALL_SQL}, dirs AS (SELECT * FROM (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) d(di, dj, dk)) SELECT v.code, count(*) AS n FROM vox v, dirs LEFT JOIN vox w ON w.i = v.i + di AND w.j = v.j + dj AND w.k = v.k + dk WHERE v.code <> 0 AND coalesce(w.code, 0) = 0 GROUP BY 1")
+def occluded_faces(spark, d):
+    return voxels.occluded_faces(_small_voxels(spark, d))
+
+
+@query(f"{SMALL_SQL}, {OBSERVE} SELECT s.i, s.j, CASE WHEN v.code IN (0, -2) THEN (s.i * 100 + s.j * 10 + v.k)::DOUBLE END AS value FROM small s LEFT JOIN base USING (i, j) LEFT JOIN vox v ON v.i = s.i AND v.j = s.j AND v.k = base.k + 1")
+def terrain_following_slice(spark, d):
+    v = _small_voxels(spark, d)
+    flux = v.select("i", "j", "k", (F.col("i") * 100 + F.col("j") * 10 + F.col("k")).cast("double").alias("value"))
+    return voxels.follow_terrain(voxels.packed(v), flux, 1)
+
+
+HITS = "h AS (SELECT l_orderkey % 48 AS i, l_partkey % 48 AS j, l_quantity * 0.7::DOUBLE AS z FROM lineitem WHERE l_suppkey % 97 = 0 GROUP BY 1, 2, 3)"
+
+
+@query(f"{HITS}, n AS (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY z) AS rn, count(*) OVER (PARTITION BY i, j) AS n FROM h), p AS (SELECT i, j, (rn + 1) // 2 AS pair, min(z) AS a, max(z) AS b FROM n WHERE n % 2 = 0 GROUP BY 1, 2, 3 UNION ALL SELECT i, j, 0, min(z), max(z) FROM n WHERE n % 2 = 1 AND n > 1 GROUP BY 1, 2), q AS (SELECT i, j, floor(a + 0.5)::INT AS k0, floor(b + 0.5)::INT AS k1 FROM p) SELECT i::INT AS i, j::INT AS j, k0, k1 FROM q WHERE k0 < k1")
+def mesh_hit_pairs(spark, d):
+    h = A.table(spark, d, "lineitem").where("l_suppkey % 97 = 0").select((F.col("l_orderkey") % N).cast("int").alias("i"), (F.col("l_partkey") % N).cast("int").alias("j"), (F.col("l_quantity") * 0.7).alias("z")).distinct()
+    return voxels.paired_hits(h)
+
+
+@query()
+def greedy_rectangles(spark, d):
+    """Roof rectangles of each level; an ordered greedy choice, checked by a test instead of SQL."""
+    roof = voxels.faces(_small_voxels(spark, d)).where("dk = 1").select(F.concat(F.lit("z"), F.col("k").cast("string")).alias("plane"), F.col("i").alias("a"), F.col("j").alias("b"))
+    return voxels.rectangles(roof)
+
+
+@query("t AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'yes' END AS building, CASE p_partkey % 7 WHEN 1 THEN 'water' WHEN 2 THEN 'wood' WHEN 3 THEN 'scrub' END AS nat, CASE p_partkey % 5 WHEN 1 THEN 'forest' WHEN 2 THEN 'grass' WHEN 3 THEN 'other' END AS landuse, CASE WHEN p_partkey % 11 = 0 THEN 'footway' END AS ah FROM part) SELECT id, CASE WHEN ah IS NOT NULL THEN 12 WHEN building IS NOT NULL THEN 13 WHEN nat = 'water' THEN 9 WHEN nat = 'wood' THEN 5 WHEN landuse = 'forest' THEN 5 WHEN nat = 'scrub' THEN 3 WHEN landuse = 'grass' THEN 2 END::INT AS code FROM t")
+def osm_classify(spark, d):
+    p = F.col("p_partkey")
+    pairs = {"building": F.when(p % 6 == 0, F.lit("yes")), "natural": F.when(p % 7 == 1, F.lit("water")).when(p % 7 == 2, F.lit("wood")).when(p % 7 == 3, F.lit("scrub")), "landuse": F.when(p % 5 == 1, F.lit("forest")).when(p % 5 == 2, F.lit("grass")).when(p % 5 == 3, F.lit("other")), "area:highway": F.when(p % 11 == 0, F.lit("footway"))}
+    tags = F.map_filter(F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    return A.table(spark, d, "part").select(p.alias("id"), readers.classify_tags(tags).alias("code"))
+
+
+@query("w AS (SELECT o_orderkey AS way, unnest([o_custkey, o_custkey + 7, o_custkey + 30]) AS node, unnest([0, 1, 2]) AS pos FROM orders WHERE o_orderkey % 20 = 0), j AS (SELECT w.*, c.c_custkey AS hit FROM w LEFT JOIN customer c ON c.c_custkey = w.node) SELECT way, (CASE WHEN count(*) = count(hit) THEN 3 ELSE 0 END)::INT AS points, CASE WHEN count(*) = count(hit) THEN arg_min(hit, pos)::DOUBLE END AS x0 FROM j GROUP BY 1")
+def osm_way_points(spark, d):
+    o, k = F.col("o_orderkey"), F.col("o_custkey")
+    ways = A.table(spark, d, "orders").where(o % 20 == 0).select(o.alias("way"), F.array(k, k + 7, k + 30).alias("nodes"))
+    nodes = A.table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.col("c_custkey").cast("double").alias("lon"), F.lit(0.0).alias("lat"))
+    return readers.way_points(ways, nodes).select("way", F.size("ring").alias("points"), F.get("ring", 0)["x"].alias("x0"))
+
+
+# --- radiation --------------------------------------------------------------------------------------------------------
+
+THROUGH = "thr AS (SELECT i, j, ray, bool_or(code NOT IN (0, -2)) AS stop, exp(-0.6 * coalesce(sum(len) FILTER (code = -2), 0.0)) AS t FROM step GROUP BY 1, 2, 3), tr AS (SELECT i, j, ray, CASE WHEN stop OR t < 0.01 THEN 0.0 ELSE t END AS t FROM thr)"
+
+
+@query(f"{SMALL_SQL}, {OBSERVE}, {SKY}, {THROUGH} SELECT i, j, round(sum(t * (ray % 4 + 1) * sin(radians(5.0 + ray % 3 * 35.0))), 6) AS energy FROM tr GROUP BY 1, 2")
+def cumulative_ground(spark, d):
+    columns, standing, shape = _scene(spark, d)
+    r = _rays(spark, 5.0, 35.0)
+    bins = r.select(F.col("ray").alias("patch"), (F.col("ray") % 4 + 1).cast("double").alias("dni"), "dz")
+    hits = rays.transmissions(standing, r, columns, shape).withColumnRenamed("ray", "patch")
+    return solar.cumulative(hits, bins).withColumn("energy", F.round("energy", 6))
+
+
+@query(f"{SMALL_SQL}, {OBSERVE}, {SKY}, {THROUGH} SELECT i, j, round(t * 800.0 * sin(radians(75.0)), 6) AS direct FROM tr WHERE ray = 5")
+def direct_map(spark, d):
+    """Direct irradiance of one sun position."""
+    columns, standing, shape = _scene(spark, d)
+    sun = _rays(spark, 5.0, 35.0).where("ray = 5")
+    t = rays.transmissions(standing, sun, columns, shape).join(sun, "ray")
+    return t.select("i", "j", F.round(F.col("through") * 800.0 * F.col("dz"), 6).alias("direct"))
+
+
+@query()
+def face_view_factor(spark, d):
+    """Cosine-weighted sky share of building faces; its rays are those of ``svf_map``, checked there against SQL."""
+    columns, _, shape = _scene(spark, d)
+    f = rays.face_openness(voxels.faces(_small_voxels(spark, d)), _rays(spark, 5.0, 35.0), columns, shape)
+    return f.withColumn("value", F.round("value", 6))
+
+
+LINKS = "s AS (SELECT s_suppkey AS surface, s_acctbal::DOUBLE AS flux, 0.1 + s_nationkey % 5 * 0.1 AS albedo FROM supplier), l AS (SELECT DISTINCT l_suppkey AS source, l_partkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS target FROM lineitem WHERE l_orderkey % 40 = 0), lk AS (SELECT source, target, (source + target) % 7 * 0.02 AS share FROM l)"
+
+
+@query(f"""{LINKS},
+o0 AS (SELECT surface, flux AS total, flux * albedo AS leaving, albedo FROM s),
+o1 AS (SELECT o.surface, total + coalesce(g, 0) AS total, coalesce(g, 0) * albedo AS leaving, albedo FROM o0 o LEFT JOIN (SELECT target, sum(leaving * share) AS g FROM o0 JOIN lk ON source = surface WHERE leaving > 0.01 AND share > 0.01 GROUP BY 1) x ON target = o.surface),
+o2 AS (SELECT o.surface, total + coalesce(g, 0) AS total, coalesce(g, 0) * albedo AS leaving, albedo FROM o1 o LEFT JOIN (SELECT target, sum(leaving * share) AS g FROM o1 JOIN lk ON source = surface WHERE leaving > 0.01 AND share > 0.01 GROUP BY 1) x ON target = o.surface),
+o3 AS (SELECT o.surface, total + coalesce(g, 0) AS total FROM o2 o LEFT JOIN (SELECT target, sum(leaving * share) AS g FROM o2 JOIN lk ON source = surface WHERE leaving > 0.01 AND share > 0.01 GROUP BY 1) x ON target = o.surface)
+SELECT surface, round(total, 4) AS total FROM o3""")
+def reflections_3(spark, d):
+    """Three bounces over a sparse view-factor matrix."""
+    s = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("surface"), F.col("s_acctbal").alias("flux"), (0.1 + F.col("s_nationkey") % 5 * 0.1).alias("albedo"))
+    top = s.agg(F.max("surface")).first()[0]
+    l = A.table(spark, d, "lineitem").where("l_orderkey % 40 = 0").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % top + 1).alias("target")).distinct()  # noqa: E741
+    links = l.withColumn("share", (F.col("source") + F.col("target")) % 7 * 0.02)
+    return rays.reflect(s, links).withColumn("total", F.round("total", 4))
+
+
+@query(f"{SMALL_SQL}, {OBSERVE}, {SKY} SELECT i, j, round(avg(1.0 - exp(-0.5 * x)), 6) AS absorbed FROM (SELECT i, j, ray, coalesce(sum(len) FILTER (code = -2), 0.0) AS x FROM step GROUP BY 1, 2, 3) GROUP BY 1, 2")
+def canopy_absorption(spark, d):
+    """Share of each place's rays that leaves take, whatever stands behind."""
+    columns, standing, shape = _scene(spark, d)
+    side = columns.select(F.col("i").alias("vi"), F.col("j").alias("vj"), "codes")
+    steps = rays.pieces(standing, _rays(spark, 5.0, 35.0), shape).join(side, ["vi", "vj"])
+    leaves = F.coalesce(F.sum(F.when(F.get("codes", F.col("vk")) == dims.TREE, F.col("length"))), F.lit(0.0))
+    return steps.groupBy("i", "j", "ray").agg(leaves.alias("x")).groupBy("i", "j").agg(F.round(F.avg(1.0 - F.exp(-0.5 * F.col("x"))), 6).alias("absorbed"))
+
+
+@query("w AS (SELECT date_trunc('hour', ts) AS start, sum(floor(value)) AS dni, count(*) AS n FROM events GROUP BY 1) SELECT start, dni, n FROM w")
+def weather_hourly(spark, d):
+    from citylattice.streaming.weather import hourly
+
+    return hourly(A.table(spark, d, "events").select("ts", F.floor("value").cast("double").alias("value")))
