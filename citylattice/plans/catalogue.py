@@ -622,7 +622,7 @@ def greedy_rectangles(spark, d):
     return voxels.rectangles(roof)
 
 
-@query("t AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'yes' END AS building, CASE p_partkey % 7 WHEN 1 THEN 'water' WHEN 2 THEN 'wood' WHEN 3 THEN 'scrub' END AS nat, CASE p_partkey % 5 WHEN 1 THEN 'forest' WHEN 2 THEN 'grass' WHEN 3 THEN 'other' END AS landuse, CASE WHEN p_partkey % 11 = 0 THEN 'footway' END AS ah FROM part) SELECT id, CASE WHEN ah IS NOT NULL THEN 12 WHEN building IS NOT NULL THEN 13 WHEN nat = 'water' THEN 9 WHEN nat = 'wood' THEN 5 WHEN landuse = 'forest' THEN 5 WHEN nat = 'scrub' THEN 3 WHEN landuse = 'grass' THEN 2 END::INT AS code FROM t")
+@query("t AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'yes' END AS building, CASE p_partkey % 7 WHEN 1 THEN 'water' WHEN 2 THEN 'wood' WHEN 3 THEN 'scrub' END AS nat, CASE p_partkey % 5 WHEN 1 THEN 'forest' WHEN 2 THEN 'grass' WHEN 3 THEN 'other' END AS landuse, CASE WHEN p_partkey % 11 = 0 THEN 'footway' END AS ah FROM part) SELECT id, CASE WHEN building IS NOT NULL THEN 12 WHEN landuse = 'grass' THEN 1 WHEN nat = 'scrub' THEN 2 WHEN nat = 'wood' OR landuse = 'forest' THEN 4 WHEN nat = 'water' THEN 8 WHEN ah IS NOT NULL THEN 11 END::INT AS code FROM t")
 def osm_classify(spark, d):
     p = F.col("p_partkey")
     pairs = {"building": F.when(p % 6 == 0, F.lit("yes")), "natural": F.when(p % 7 == 1, F.lit("water")).when(p % 7 == 2, F.lit("wood")).when(p % 7 == 3, F.lit("scrub")), "landuse": F.when(p % 5 == 1, F.lit("forest")).when(p % 5 == 2, F.lit("grass")).when(p % 5 == 3, F.lit("other")), "area:highway": F.when(p % 11 == 0, F.lit("footway"))}

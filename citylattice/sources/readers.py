@@ -62,20 +62,43 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(F.coalesce("f.properties.height", F.lit(0.0)).alias("height"), F.transform(F.get("f.geometry.coordinates", 0), lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y"))).alias("ring"))
 
 
-# Land-cover class of map tags, the first rule that fits decides.
+# 0-based class of map tags, as (class, key, values); no values stand for any. The first rule that fits decides.
 TAG_RULES = [
-    ("building", None, 13), ("highway", None, 12), ("natural", "water", 9), ("waterway", None, 9), ("landuse", "reservoir", 9), ("natural", "wetland", 7), ("natural", "wood", 5), ("landuse", "forest", 5), ("landuse", "farmland", 4), ("landuse", "orchard", 4),
-    ("natural", "scrub", 3), ("landuse", "grass", 2), ("leisure", "park", 2), ("natural", "sand", 1), ("natural", "glacier", 10), ("landuse", "residential", 11), ("landuse", "commercial", 11), ("landuse", "industrial", 11),
-]
+    (11, "highway", ()),
+    (12, "building", ()),
+    (10, "landuse", ("industrial", "retail", "commercial", "residential", "construction", "railway")),
+    (10, "amenity", ("parking",)),
+    (10, "place", ("islet", "island")),
+    (0, "landuse", ("quarry", "brownfield", "landfill")),
+    (0, "natural", ("bare_rock", "scree", "shingle", "rock", "sand", "desert", "beach")),
+    (1, "landuse", ("grass", "meadow")),
+    (1, "natural", ("grassland", "heath")),
+    (1, "leisure", ("garden", "park")),
+    (2, "natural", ("scrub",)),
+    (3, "landuse", ("farmland", "orchard", "vineyard", "plant_nursery", "greenhouse_horticulture", "flowerbed", "allotments")),
+    (4, "natural", ("wood", "tree", "tree_row", "tree_canopy")),
+    (4, "landuse", ("forest",)),
+    (5, "natural", ("fell",)),
+    (6, "natural", ("wetland",)),
+    (6, "wetland", ("marsh", "swamp", "bog", "fen")),
+    (7, "wetland", ("mangrove",)),
+    (8, "natural", ("water", "bay")),
+    (8, "landuse", ("reservoir", "basin")),
+    (8, "water", ("ocean", "sea", "lake")),
+    (9, "natural", ("glacier",)),
+    (13, "FIXME", ()),
+    (13, "natural", ("cloud",)),
+    (11, "area:highway", ()),
+]
 
 
 def classify_tags(tags: Column) -> Column:
-    """Standard class of map tags, null where no rule fits. area:highway is road."""
-    value = lambda k: F.try_element_at(tags, F.lit(k))
-    fits = [(value(k).isNotNull() if v is None else value(k) == v, c) for k, v, c in TAG_RULES]
-    out = F.when(value("area:highway").isNotNull(), 12)
-    for hit, code in fits:
-        out = out.when(hit, code)
+    """0-based class of map tags, null where no rule fits."""
+    out = None
+    for code, key, values in TAG_RULES:
+        value = F.try_element_at(tags, F.lit(key))
+        fits = value.isin(*values) if values else value.isNotNull()
+        out = F.when(fits, code) if out is None else out.when(fits, code)
     return out
 
 
