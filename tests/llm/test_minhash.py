@@ -9,7 +9,7 @@ from citylattice.operators.components import components
 from citylattice.llm.minhash import keep_one, report
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = []
     for _, text in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
@@ -28,7 +28,7 @@ def brute(rows):
                 common[j] += 1
             holders[x].append(i)
         for j, n in common.items():
-            if 100 * n >= 85 * (len(s) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
