@@ -99,14 +99,22 @@ def _signed():
     return compute
 
 
-def _alike(least: float):
-    """Pairs (u, v) of a table (u, v, a, b) whose sketches a and b agree."""
+def _likely(least: float, heads: int):
+    """Pairs (u, v), the smaller first, of a class with those heads of its bucket (columns cls, root, sketch and c0, r0,
+    s0 and so on) that have another root and an agreeing sketch."""
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array((a == b).mean(axis=1) >= least))
+            if not batch.num_rows:
+                continue
+            columns = {n: batch.column(n).to_pylist() for n in batch.schema.names if n[0] in "cr"}
+            sketches = {n: np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint8).reshape(-1, SKETCH) for n in batch.schema.names if n[0] == "s"}
+            out = set()
+            for h in range(heads):
+                near = np.flatnonzero((sketches["sketch"] == sketches[f"s{h}"]).mean(axis=1) >= least)
+                out |= {(min(x, y), max(x, y)) for i in near if columns["root"][i] != columns[f"r{h}"][i] for x, y in [(columns["cls"][i], columns[f"c{h}"][i])]}
+            u, v = zip(*sorted(out)) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
     return run
 
@@ -201,39 +209,40 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
     classes = cut(signed.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("rep"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")))
     # buckets of at least two classes
     spread = classes.select("cls", "copies", F.explode("bands").alias("key"))
-    keys = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("copies", "cls")).alias("head")).where("n > 1").select("key", F.col("head.cls").alias("head"))
-    buckets = cut(spread.join(keys, "key").select("key", "cls", "head"))
-    shared = cut(classes.join(buckets.select("cls").distinct(), "cls", "left_semi").select("cls", "rep", "bands", "sketch"))
+    keys = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    members = cut(spread.join(keys, "key"))
+    shared = cut(classes.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "rep", "bands", "sketch"))
     sets = cut(_sets(docs, text, shared))
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        """Pairs (x, y) as (u, v), the smaller first, whose sketches agree."""
-        one = pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).where("u <> v").distinct()
-        a = one.join(shared.select(F.col("cls").alias("u"), F.col("sketch").alias("a")), "u")
-        return a.join(shared.select(F.col("cls").alias("v"), F.col("sketch").alias("b")), "v").select("u", "v", "a", "b").mapInArrow(_alike(least), "u binary, v binary")
-
-    links = cut(_verified(likely(buckets.select(F.col("cls").alias("x"), F.col("head").alias("y"))), sets, percent))
-    for step in range(ROUNDS + 1):
-        roots = cut(components(links)).select(F.col("node").alias("cls"), "root")
-        rooted = buckets.select("key", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        # only buckets whose classes have different roots are left
-        apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        open_ = cut(rooted.join(apart, "key"))
-        if open_.isEmpty():
-            break
-        if step == ROUNDS:
+    buckets = cut(members.join(shared.select("cls", "sketch"), "cls"))
+    roots, links = None, None
+    for step in range(ROUNDS + 2):
+        if roots is None:
+            open_ = buckets.withColumn("root", F.col("cls"))
+        else:
+            rooted = buckets.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+            # only buckets whose classes have different roots are left
+            apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+            open_ = cut(rooted.join(apart, "key"))
+            if open_.isEmpty():
+                break
+        if step > ROUNDS:
             by_root = open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
             main = by_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
-            rows = open_.join(main, "key").join(shared.select("cls", "bands", "sketch"), "cls").select("key", "cls", "root", "bands", "sketch", (F.col("root") != F.col("main")).alias("loose"))
+            rows = open_.join(main, "key").join(shared.select("cls", "bands"), "cls").select("key", "cls", "root", "bands", "sketch", (F.col("root") != F.col("main")).alias("loose"))
             pairs = _pairs_in_blocks(rows, least)
         else:
-            salted = open_.select("key", "cls", "root", F.xxhash64("cls", F.lit(step), "key").alias("turn"))
-            heads = salted.groupBy("key").agg(F.array(*[F.min_by(F.struct("cls", "root"), F.xxhash64("turn", F.lit(i))) for i in range(HEADS)]).alias("heads"))
-            chosen = salted.join(heads, "key").select("cls", "root", F.explode("heads").alias("h")).where("root <> h.root")
-            pairs = likely(chosen.select(F.col("cls").alias("x"), F.col("h.cls").alias("y")))
-        links = cut(links.union(_verified(pairs, sets, percent)))
-        if step == ROUNDS:
-            roots = cut(components(links)).select(F.col("node").alias("cls"), "root")
+            one = F.struct("cls", "root", "sketch")
+            if step == 0:
+                chosen = [F.max_by(one, F.struct("copies", "cls"))]
+            else:
+                chosen = [F.min_by(one, F.xxhash64("cls", "key", F.lit(step * HEADS + h))) for h in range(HEADS)]
+            heads = open_.groupBy("key").agg(*[c.alias(f"h{h}") for h, c in enumerate(chosen)])
+            named = [F.col(f"h{h}.{c}").alias(f"{c[0]}{h}") for h in range(len(chosen)) for c in ("cls", "root", "sketch")]
+            both = open_.join(heads, "key").select("cls", "root", "sketch", *named)
+            pairs = both.mapInArrow(_likely(least, len(chosen)), "u binary, v binary").distinct()
+        fresh = _verified(pairs, sets, percent)
+        links = cut(fresh if links is None else links.union(fresh))
+        roots = cut(components(links)).select(F.col("node").alias("cls"), "root")
     named = classes.select("cls", "least").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     low = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = named.join(low, "root").select("cls", "component_id")
