@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citylattice.llm import mixing, neighbours
+from citylattice.llm import decontaminate, mixing, neighbours
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,4 +68,4 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_repeats": op4_repeats, "op3_lattice": op3_lattice, "op1_urls": op1_urls, "op2_language": op2_language, "op6_minhash": op6_minhash, "op8_neighbours": op8_neighbours, "op9_pii": op9_pii, "op7_mix": op7_mix, "op10_decontaminate": op10_decontaminate}
-ORACLES: dict[str, str] = {"op7_mix": mixing.ORACLE, "op8_neighbours": neighbours.ORACLE}
+ORACLES: dict[str, str] = {"op7_mix": mixing.ORACLE, "op10_decontaminate": decontaminate.ORACLE, "op8_neighbours": neighbours.ORACLE}
