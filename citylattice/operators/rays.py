@@ -8,11 +8,13 @@ directions, whose number is a parameter, are broadcast.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citylattice.functions import dims
+from citylattice.session import parts
 
 CUTOFF = 0.01
 
@@ -82,17 +84,23 @@ def view(observers: DataFrame, rays: DataFrame, columns: DataFrame, shape: tuple
 
 def landmark_visible(observers: DataFrame, landmarks: DataFrame, columns: DataFrame) -> DataFrame:
     """(i, j, visible): whether an observer sees the centre of any landmark voxel (i, j, k), all else but air being opaque.
-    ``landmarks`` is a stated target list; observers are distributed."""
-    to = F.broadcast(landmarks.select(F.col("i").alias("ti"), F.col("j").alias("tj"), F.col("k").alias("tk"), F.monotonically_increasing_id().alias("target")))
+    Landmarks go out in slices of a checked size, and whoever sees one of any slice sees one."""
+    found = [_seen(observers, part, columns) for part in parts(landmarks.select("i", "j", "k"))]
+    seen = reduce(DataFrame.union, found).distinct().withColumn("visible", F.lit(1))
+    return observers.select("i", "j", "k").join(seen, ["i", "j"], "left").select("i", "j", F.when(F.col("k").isNotNull(), F.coalesce("visible", F.lit(0))).alias("visible"))
+
+
+def _seen(observers: DataFrame, landmarks: DataFrame, columns: DataFrame) -> DataFrame:
+    to = F.broadcast(landmarks.select(F.col("i").alias("ti"), F.col("j").alias("tj"), F.col("k").alias("tk")))
     pairs = observers.where("k is not null").join(to).where("i <> ti or j <> tj or k <> tk")
     length = F.greatest(F.abs(F.col("ti") - F.col("i")), F.abs(F.col("tj") - F.col("j")), F.abs(F.col("tk") - F.col("k")))
     # one sample in every layer of the longest axis between the two ends
     steps = pairs.withColumn("long", length).withColumn("s", F.explode(F.filter(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), lambda s: s < length)))
     at = [F.floor(F.col(o) + 0.5 + (F.col(t) - F.col(o)) * F.col("s") / F.col("long")).cast("int").alias(v) for o, t, v in (("i", "ti", "vi"), ("j", "tj", "vj"), ("k", "tk", "vk"))]
     side = columns.select(F.col("i").alias("vi"), F.col("j").alias("vj"), "codes")
-    blocked = steps.select("i", "j", "target", *at).join(side, ["vi", "vj"]).where(F.coalesce(F.get("codes", F.col("vk")), F.lit(0)) != 0).select("i", "j", "target").distinct()
-    seen = pairs.select("i", "j", "target").join(blocked, ["i", "j", "target"], "left_anti").select("i", "j").distinct().withColumn("visible", F.lit(1))
-    return observers.select("i", "j", "k").join(seen, ["i", "j"], "left").select("i", "j", F.when(F.col("k").isNotNull(), F.coalesce("visible", F.lit(0))).alias("visible"))
+    target = ["ti", "tj", "tk"]
+    blocked = steps.select("i", "j", *target, *at).join(side, ["vi", "vj"]).where(F.coalesce(F.get("codes", F.col("vk")), F.lit(0)) != 0).select("i", "j", *target).distinct()
+    return pairs.select("i", "j", *target).join(blocked, ["i", "j", *target], "left_anti").select("i", "j").distinct()
 
 
 def transmissions(observers: DataFrame, rays: DataFrame, columns: DataFrame, shape: tuple[int, int, int], tree_k: float = 0.6, lad: float = 1.0, mesh: float = 1.0) -> DataFrame:

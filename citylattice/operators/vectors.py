@@ -6,10 +6,13 @@ bucket of its intersection's corner; no join here is a product of two tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citylattice.functions.exprs import haversine_km, inside_ring
+from citylattice.session import parts
 
 BUCKET = 4
 
@@ -82,10 +85,13 @@ def zone_stats(members: DataFrame, grid: DataFrame, value: str, weight: str | No
 
 
 def nearest_station(points: DataFrame, stations: DataFrame) -> DataFrame:
-    """(id, station_id, km): nearest of a stated list of stations, ties to the smaller id, however far it is."""
-    s = F.broadcast(stations.select("station_id", F.col("lon").alias("__lon"), F.col("lat").alias("__lat")))
+    """(id, station_id, km): nearest station of each point, ties to the smaller id, however far it is. Stations go out in
+    slices of a checked size; the nearest of all slices is taken."""
     km = haversine_km(F.col("lon"), F.col("lat"), F.col("__lon"), F.col("__lat"))
-    best = points.join(s).groupBy("id").agg(F.min(F.struct(km.alias("km"), "station_id")).alias("b"))
+    near = []
+    for part in parts(stations.select("station_id", F.col("lon").alias("__lon"), F.col("lat").alias("__lat"))):
+        near.append(points.join(F.broadcast(part)).groupBy("id").agg(F.min(F.struct(km.alias("km"), "station_id")).alias("b")))
+    best = near[0] if len(near) == 1 else reduce(DataFrame.union, near).groupBy("id").agg(F.min("b").alias("b"))
     return best.select("id", "b.station_id", "b.km")
 
 

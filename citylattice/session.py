@@ -43,3 +43,20 @@ def cut(df: DataFrame) -> DataFrame:
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows that a side of a join without a key may have to be sent to every executor.
+BROADCAST_ROWS = 20_000
+
+
+def parts(df: DataFrame, rows: int = BROADCAST_ROWS) -> list[DataFrame]:
+    """``df`` in slices of about ``rows`` rows at most, by a hash of the whole row: what has to go to every executor goes
+    in slices of a checked size, one after another, and the caller merges the results."""
+    from pyspark.sql import functions as F
+
+    n = -(-df.count() // rows)
+    if n <= 1:
+        return [df]
+    # twice as many slices as needed leave room for uneven hashes
+    at = F.pmod(F.xxhash64(*df.columns), F.lit(2 * n))
+    return [df.where(at == i) for i in range(2 * n)]
