@@ -67,5 +67,11 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_repeats": op4_repeats, "op3_lattice": op3_lattice, "op1_urls": op1_urls, "op2_language": op2_language, "op6_minhash": op6_minhash, "op8_neighbours": op8_neighbours, "op9_pii": op9_pii, "op7_mix": op7_mix, "op10_decontaminate": op10_decontaminate}
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citylattice.llm.licenses import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_licenses": op5_licenses, "op4_repeats": op4_repeats, "op3_lattice": op3_lattice, "op1_urls": op1_urls, "op2_language": op2_language, "op6_minhash": op6_minhash, "op8_neighbours": op8_neighbours, "op9_pii": op9_pii, "op7_mix": op7_mix, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {"op7_mix": mixing.ORACLE, "op10_decontaminate": decontaminate.ORACLE, "op8_neighbours": neighbours.ORACLE}
