@@ -10,7 +10,7 @@ bucket's heads is compared with them; the first head is the class with most docu
 further comparison. The classes that stay apart are compared with the rest of their bucket in blocks, each pair in the
 first band that it shares only. All comparisons begin with ``SKETCH`` bytes of as many further minima; a pair whose sketches
 agree in less than its similarity less ``SLACK`` is passed over, which happens to a pair of similarity 0.85 with
-probability under 1e-4 and to closer ones hardly ever. Every link is confirmed on the full sets; only documents that can
+probability under 1e-5 and to closer ones hardly ever. Every link is confirmed on the full sets; only documents that can
 be needed for that give their sets.
 
 Links become components by alternating stars. A component carries the least id of its documents. Null ids are larger
@@ -32,7 +32,7 @@ from citylattice.session import cut
 
 SHINGLE, BANDS, ROWS = 5, 20, 4
 #: Minima of a sketch, one byte each, and how far below the wanted similarity the agreement of sketches may be.
-SKETCH, SLACK = 128, 0.13
+SKETCH, SLACK = 384, 0.08
 #: Heads of a bucket in a later round, and rounds, before what is left is compared in blocks.
 HEADS, ROUNDS = 2, 1
 BLOCK = 512
