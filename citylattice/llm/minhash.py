@@ -200,7 +200,8 @@ def _pairs_in_blocks(rows: DataFrame, least: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, text_hash, n_shingles, component_id."""
+    """One row for each row of ``docs``: doc_id, text_hash, n_shingles, component_id, and root, which only rows of one
+    component share; it is null where there are no words."""
     session(docs.sparkSession)
     least = percent / 100 - SLACK
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
@@ -245,9 +246,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
         roots = cut(components(links)).select(F.col("node").alias("cls"), "root")
     named = classes.select("cls", "least").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     low = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = named.join(low, "root").select("cls", "component_id")
+    by_class = named.join(low, "root").select("cls", "component_id", "root")
     out = signed.select("doc_id", "text_hash", "n_shingles", "cls").join(by_class, "cls", "left")
-    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -256,11 +257,13 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``docs`` with one row of each component, and every row without words; of rows that repeat the kept id, one."""
-    found = near_duplicates(docs, percent).where("n_shingles = 0 or doc_id <=> component_id")
-    one = found.groupBy("component_id", F.col("n_shingles") > 0).agg(F.min("text_hash").alias("text_hash"))
-    kept = one.select(F.col("component_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    hashed = docs.withColumn("__text", F.xxhash64("text"))
-    joined = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")))
+    """``docs`` with one row of each component, and every row without words. Components may share an id, or have none: it is
+    the root that tells them apart."""
+    found = near_duplicates(docs, percent).where("n_shingles > 0 and doc_id <=> component_id")
+    one = found.groupBy("root").agg(F.min("component_id").alias("__id"), F.min("text_hash").alias("__hash")).drop("root")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    hashed = docs.where(worded).withColumn("__text", F.xxhash64("text"))
+    joined = hashed.join(one, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")))
     turn = Window.partitionBy("__id", "__hash").orderBy(F.lit(1))
-    return joined.withColumn("__turn", F.row_number().over(turn)).where("__turn = 1").select(*docs.columns)
+    kept = joined.withColumn("__turn", F.row_number().over(turn)).where("__turn = 1").select(*docs.columns)
+    return kept.unionByName(docs.where(~worded))

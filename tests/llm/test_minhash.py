@@ -81,6 +81,16 @@ def test_keep_one(spark):
     assert report(docs.limit(0)).count() == 0
 
 
+def test_keep_one_of_components_that_share_an_id(spark):
+    texts = [f"{w} one two three four five six" for w in ("red", "green blue", "a b c d e f g h")]
+    data = [(None, t) for t in texts * 2] + [(7, t + " of seven and more words that differ from those above") for t in texts]
+    data += [(i, t) for i in (None, 7, 8) for t in (None, "", " \t\x0b")] * 2
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    worded = [x for x in data if (x[1] or "").strip()]
+    want = [next(x for x in worded if x[1] == t) for t in dict.fromkeys(t for _, t in worded)] + [x for x in data if not (x[1] or "").strip()]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.text)) for r in keep_one(docs).collect())
+
+
 def test_long_path(spark):
     edges = spark.range(200).selectExpr("lpad(string((id * 7919) % 1009), 5, '0') u", "lpad(string(((id + 1) * 7919) % 1009), 5, '0') v")
     got = components(edges).collect()
