@@ -1,12 +1,14 @@
 """Licence scan: sparse TF-IDF cosine of lines and whole files to templates, then inheritance along directories.
 
-A file's headers are all its lines, and the file as a whole is compared too. Words are runs of letters and digits, lower
+A file's lines, the file as a whole, and every run of as many words as a template has are compared with the templates, so a
+notice may be wrapped over lines, commented out or stand in other prose. The templates hold notices, standard headers and
+whole short licences; the long licences hold their own standard header or opening, which is found in them. Words are runs of letters and digits, lower
 case in ASCII; a line's vector is its word counts times inverse document frequencies, which are counted over all files for
 the words of the templates; any other word weighs as one that no file has. The best template decides, if its cosine is
-``CLOSE`` or more; ties go to the template that is listed first. Lines that can't reach it are passed over by an exact
+``CLOSE`` or more; ties go to the template that is listed first. Lines and runs that can't reach it are passed over by an exact
 bound (the dot product is linear in the counts, the norm at least that of single counts).
 
-A licence file is one with a usual name, or one of whose words at least ``MOSTLY`` stand in lines that match. It speaks for
+A licence file is one with a usual name, or one of whose words at least ``MOSTLY`` stand in lines or runs that match. It speaks for
 its directory. A file without a licence of its own inherits from the nearest ancestor directory that has one; several
 licence files of a directory are settled by score and then by path. Directories meet by path: each distinct directory
 looks at its own ancestors only, and files then look up their directory.
@@ -29,6 +31,12 @@ from citylattice.llm.arrow import annotate, session
 CLOSE, MOSTLY = 0.8, 0.5
 NAMES = r"(?i)(^|/)(licen[sc]e|copying|unlicense|notice)[^/]*$"
 
+_GNU = "This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+
 #: Identifier and wording of each template.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -47,6 +55,24 @@ TEMPLATES = [
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license; redistribution and use in source and binary forms are permitted."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
+    ("MIT", _MIT),
+    ("MIT", _MIT + " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions."),
+    *[(f"{kind}GPL-{version}", _GNU.format(what="program", kind=name, version=number)) for kind, name, version, number in (("", "", "2.0", "2"), ("", "", "3.0", "3"), ("L", "Lesser ", "2.1", "2.1"), ("L", "Lesser ", "3.0", "3"), ("A", "Affero ", "3.0", "3"))],
+    ("LGPL-2.1", _GNU.format(what="library", kind="Lesser ", version="2.1")),
+    ("LGPL-3.0", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("BSD-3-Clause", f"{_BSD} {_THIRD} {_AS_IS}"),
+    ("BSD-3-Clause", f"{_BSD} {_THIRD}"),
+    # whoever the holder is; before the two clauses, which the three contain
+    ("BSD-3-Clause", "may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", f"{_BSD} {_AS_IS}"),
+    ("BSD-2-Clause", _BSD),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("CC0-1.0", "CC0 1.0 Universal Statement of Purpose The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights upon the creator and subsequent owner(s) of an original work of authorship and/or a database (each, a \"Work\")."),
 ]
 
 
@@ -81,6 +107,7 @@ class Templates:
         self.unit = own / np.linalg.norm(own, axis=1, keepdims=True)
         # what one use of a word adds to the dot product with each template; nothing for other words
         self.adds = np.vstack([(self.unit * self.idf[:-1]).T, np.zeros(len(self.names))])
+        self.rows = np.ascontiguousarray(self.adds.T)
         return self
 
     def cosines(self, h: np.ndarray) -> np.ndarray:
@@ -105,6 +132,21 @@ class Templates:
             if exact.max() >= CLOSE:
                 yield int(s), int(exact.argmax()), float(exact.max())
 
+    def runs(self, at: np.ndarray, h: np.ndarray, text: np.ndarray):
+        """(start, end, template, cosine) of the runs of as many words as a template has, inside a text, that reach
+        ``CLOSE`` with it."""
+        weight = np.concatenate([[0.0], np.cumsum(self.idf[at] ** 2)])
+        for t, n in enumerate(self.counts.sum(axis=1).astype(int)):
+            if n > len(h):
+                continue
+            sums = np.concatenate([[0.0], np.cumsum(self.rows[t][at])])
+            dots = sums[n:] - sums[:-n]
+            likely = (dots * dots >= (CLOSE * CLOSE - 1e-6) * (weight[n:] - weight[:-n])) & (text[n - 1 :] == text[: len(text) - n + 1])
+            for s in np.flatnonzero(likely):
+                exact = self.cosines(h[s : s + n])[t]
+                if exact >= CLOSE:
+                    yield int(s), int(s + n), t, float(exact)
+
 
 def _frequencies(templates: Templates):
     def run(batches):
@@ -135,18 +177,24 @@ def _scanner(templates: Templates):
             text = np.repeat(np.arange(hi - lo), np.diff(by_text))
             heads = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (line[1:] != line[:-1])])) if len(h) else start
             ends = np.append(heads[1:], len(h))
-            matched = np.zeros(hi - lo)
-            found = [(int(text[heads[s]]), t, c, ends[s] - heads[s]) for s, t, c in templates.best(at, h, heads, ends)]
+            matched = np.zeros(len(h) + 1, np.int64)
+            found = []
+            parts = [(heads[s], ends[s], t, c) for s, t, c in templates.best(at, h, heads, ends)] + list(templates.runs(at, h, text))
+            for a, b, t, c in parts:
+                matched[a] += 1
+                matched[b] -= 1
+                found.append((int(text[a]), t, c, b - a))
+            # words of each text that stand in what matches
+            matched = np.concatenate([[0], np.cumsum(np.cumsum(matched[:-1]) > 0)])[by_text]
             whole = np.flatnonzero(np.diff(by_text))
             found += [(int(whole[s]), t, c, 0) for s, t, c in templates.best(at, h, by_text[:-1][whole], by_text[1:][whole])]
             ranked = {}
-            for i, t, c, words in found:
-                matched[i] += words
+            for i, t, c, _ in found:
                 ranked[i] = max(ranked.get(i, (0.0, 0)), (round(c, 12), -t))
             for i, (c, t) in ranked.items():
                 names[lo + i], scores[lo + i] = templates.names[-t], c
                 # a text that matches as a whole counts as all licence
-                shares[lo + i] = max(matched[i] / (by_text[i + 1] - by_text[i]), 1.0 if any(x[0] == i and not x[3] for x in found) else 0.0)
+                shares[lo + i] = max((matched[i + 1] - matched[i]) / (by_text[i + 1] - by_text[i]), 1.0 if any(x[0] == i and not x[3] for x in found) else 0.0)
         return names, scores, shares
 
     return compute

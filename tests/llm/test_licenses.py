@@ -79,3 +79,36 @@ def test_tables(spark):
         assert got[r.doc_id].own_license == name and got[r.doc_id].own_score == pytest.approx(score)
     lines = {"Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0."}
     assert all(got[r.doc_id].own_license for r in rows if lines & set(r.text.split("\n")))
+
+
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+"""
+BSD = """/* Copyright (c) 2001, Somebody Else.  All rights reserved.
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *  1. Redistributions of source code must retain the above copyright notice,
+ *     this list of conditions and the following disclaimer.
+ *  2. Redistributions in binary form must reproduce the above copyright notice,
+ *     this list of conditions and the following disclaimer in the documentation
+ *     and/or other materials provided with the distribution.
+ */
+"""
+MPL = """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_wrapped_headers_prose_and_whole_licences(spark):
+    code = "\n".join(f"value{i} = other{i} + {i}" for i in range(200))
+    shared = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
+    cases = [(GPL + code, "GPL-3.0"), (GPL.replace("version 3", "version 2") + code, "GPL-2.0"), (GPL.replace("GNU General", "GNU Affero General") + code, "AGPL-3.0"), (BSD + code, "BSD-2-Clause"), (MPL + code, "MPL-2.0")]
+    cases += [("We met in spring and then, as all of it is Released under the MIT License. nobody asked where the rest had gone", "MIT"), (code, None)]
+    cases += [(open(f"/usr/share/common-licenses/{f}").read(), want) for f, want in shared.items()]
+    files = spark.createDataFrame([(f"d{i}/x", t) for i, (t, _) in enumerate(cases)], "path string, text string")
+    got = {r.path: r.own_license for r in scan(files).collect()}
+    assert [got[f"d{i}/x"] for i in range(len(cases))] == [want for _, want in cases]
