@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citylattice.functions import dims
+from citylattice.session import parts
 
 
 def covered(footprints: DataFrame) -> DataFrame:
@@ -120,6 +123,16 @@ def nearest_sample(cells: DataFrame, points: DataFrame, reach: int) -> DataFrame
     return cells.join(best, ["i", "j"], "left").select("i", "j", F.col("b.z").alias("z"))
 
 
+def nearest_of_all(cells: DataFrame, points: DataFrame) -> DataFrame:
+    """(i, j, z): value of the nearest point (x, y, z, ord) of a centre at any distance, the later one of equally near.
+    Points go out in slices of a checked size; the work is cells times points."""
+    far = F.pow(F.col("i") + 0.5 - F.col("x"), 2) + F.pow(F.col("j") + 0.5 - F.col("y"), 2)
+    first = F.min(F.struct(far.alias("d"), (-F.col("ord")).alias("o"), "z"))
+    found = [cells.join(F.broadcast(part)).groupBy("i", "j").agg(first.alias("b")) for part in parts(points.select("x", "y", "z", "ord"))]
+    best = reduce(DataFrame.union, found).groupBy("i", "j").agg(F.min("b").alias("b"))
+    return cells.join(best, ["i", "j"], "left").select("i", "j", F.col("b.z").alias("z"))
+
+
 def flatten_water(grid: DataFrame, water: int = 9, diagonal: bool = True) -> DataFrame:
     """DEM of each connected water body becomes its least value."""
     from citylattice.operators.components import components

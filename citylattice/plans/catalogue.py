@@ -534,11 +534,20 @@ def veg_max_join(spark, d):
     return raster.highest_cover(A.cells(spark), _boxes(spark, d), "height")
 
 
+def _samples(spark, d):
+    s = F.col("s_suppkey")
+    return A.table(spark, d, "supplier").select(s.alias("ord"), (s * 11 % N + 0.25).cast("double").alias("x"), (s * 5 % N + 0.75).cast("double").alias("y"), F.col("s_nationkey").cast("double").alias("z"))
+
+
 @query("pt AS (SELECT s_suppkey AS ord, (s_suppkey * 11 % 48 + 0.25)::DOUBLE AS x, (s_suppkey * 5 % 48 + 0.75)::DOUBLE AS y, s_nationkey::DOUBLE AS z FROM supplier), near AS (SELECT c.i, c.j, p.*, (c.i + 0.5 - x) * (c.i + 0.5 - x) + (c.j + 0.5 - y) * (c.j + 0.5 - y) AS dd FROM cells c JOIN pt p ON abs(c.i - floor(x)) <= 6 AND abs(c.j - floor(y)) <= 6) SELECT c.i, c.j, n.z FROM cells c LEFT JOIN (SELECT i, j, arg_min(z, (dd, -ord)) AS z FROM near GROUP BY 1, 2) n USING (i, j)")
 def dem_nearest(spark, d):
-    s = F.col("s_suppkey")
-    p = A.table(spark, d, "supplier").select(s.alias("ord"), (s * 11 % N + 0.25).cast("double").alias("x"), (s * 5 % N + 0.75).cast("double").alias("y"), F.col("s_nationkey").cast("double").alias("z"))
-    return raster.nearest_sample(A.cells(spark), p, 6)
+    return raster.nearest_sample(A.cells(spark), _samples(spark, d), 6)
+
+
+@query("pt AS (SELECT s_suppkey AS ord, (s_suppkey * 11 % 48 + 0.25)::DOUBLE AS x, (s_suppkey * 5 % 48 + 0.75)::DOUBLE AS y, s_nationkey::DOUBLE AS z FROM supplier), near AS (SELECT c.i, c.j, p.*, (c.i + 0.5 - x) * (c.i + 0.5 - x) + (c.j + 0.5 - y) * (c.j + 0.5 - y) AS dd FROM cells c CROSS JOIN pt p) SELECT c.i, c.j, n.z FROM cells c LEFT JOIN (SELECT i, j, arg_min(z, (dd, -ord)) AS z FROM near GROUP BY 1, 2) n USING (i, j)")
+def dem_nearest_whole(spark, d):
+    """Every cell's nearest sample at any distance; ``dem_nearest`` looks 6 cells far."""
+    return raster.nearest_of_all(A.cells(spark), _samples(spark, d))
 
 
 WET = "wet AS (SELECT i, j, CASE WHEN (i // 3 + j // 4) % 3 = 0 THEN 9 ELSE 1 END AS code, ((i * 7 + j * 5) % 23)::DOUBLE AS z FROM cells WHERE i < 12 AND j < 12)"

@@ -104,3 +104,9 @@ def test_stream_equals_table(spark, tmp_path):
         assert sorted(map(tuple, spark.table("hours").collect())) == sorted(map(tuple, hourly(rows).collect()))
     finally:
         q.stop()
+
+
+def test_nearest_of_all_reaches_far_and_straight_ahead(spark):
+    cells = spark.createDataFrame([(0, 0), (40, 40)], "i int, j int")
+    points = spark.createDataFrame([(6.5, 6.5, 1.0, 1), (7.5, 0.5, 2.0, 2), (0.5, 7.5, 3.0, 3)], "x double, y double, z double, ord long")
+    assert {(r.i, r.j): r.z for r in raster.nearest_of_all(cells, points).collect()} == {(0, 0): 3.0, (40, 40): 1.0}
