@@ -51,7 +51,7 @@ def read_obj(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
     word = F.split(F.trim("text"), r"\s+")
     kind = F.get(word, 0)
-    named = lines.where(kind.isin("v", "f", "o", "g")).withColumns({"kind": kind, "name": F.when(kind.isin("o", "g"), F.array_join(F.slice(word, 2, 100), " ")), "numbers": F.when(kind.isin("v", "f"), F.transform(F.slice(word, 2, 100), lambda x: F.get(F.split(x, "/"), 0).try_cast("double")))})
+    named = lines.where(kind.isin("v", "f", "o", "g")).withColumns({"kind": kind, "name": F.when(kind.isin("o", "g"), F.array_join(F.slice(word, F.lit(2), F.size(word)), " ")), "numbers": F.when(kind.isin("v", "f"), F.transform(F.slice(word, F.lit(2), F.size(word)), lambda x: F.get(F.split(x, "/"), 0).try_cast("double")))})
     return named.withColumn("grp", F.last("name", ignorenulls=True).over(Window.partitionBy("file").orderBy("line")))
 
 

@@ -110,3 +110,10 @@ def test_nearest_of_all_reaches_far_and_straight_ahead(spark):
     cells = spark.createDataFrame([(0, 0), (40, 40)], "i int, j int")
     points = spark.createDataFrame([(6.5, 6.5, 1.0, 1), (7.5, 0.5, 2.0, 2), (0.5, 7.5, 3.0, 3)], "x double, y double, z double, ord long")
     assert {(r.i, r.j): r.z for r in raster.nearest_of_all(cells, points).collect()} == {(0, 0): 3.0, (40, 40): 1.0}
+
+
+def test_obj_of_long_faces_and_names(spark, tmp_path):
+    name, face = [f"n{i}" for i in range(150)], range(1, 251)
+    (tmp_path / "long.obj").write_text("o " + " ".join(name) + "\nf " + " ".join(f"{i}/{i}" for i in face) + "\n")
+    o, f = readers.read_obj(spark, str(tmp_path / "long.obj")).orderBy("line").collect()
+    assert o.name == f.grp == " ".join(name) and f.numbers == [float(i) for i in face]
