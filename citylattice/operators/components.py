@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citylattice.session import cut
+from citylattice.session import cut, forget
 
 #: Rounds are logarithmic in the size of a component; this bound only stops a fault.
 MOST_ROUNDS = 60
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges do no harm; no edges give no rows."""
     now, before = cut(edges.select("u", "v").where("u <> v").distinct()), None
     for _ in range(MOST_ROUNDS):
-        now = cut(_star(_star(now, True), False))
+        last, now = now, cut(_star(_star(now, True), False))
+        forget(last)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

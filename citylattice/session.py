@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,27 +23,45 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; a folder of our own only where none is set (local tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if held is None:
+    """The folder that spark.checkpoint.dir or the context's checkpoint folder names. Without one, a master on this machine
+    alone (local tests) gets a folder of its own; a cluster has no other choice, as its machines could not read each
+    other's folders."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="citylattice-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held.rstrip("/")
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
+_tables: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def _hadoop(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: the plan restarts from files that all
-    executors see. The table goes when the driver ends."""
+    executors see. The table goes with ``forget``, or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    files, place = _hadoop(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` has returned and that no plan will read any more."""
+    for df in tables:
+        if path := _tables.pop(df, None):
+            files, place = _hadoop(df.sparkSession, path)
+            files.delete(place, True)
 
 
 #: Rows that a side of a join without a key may have to be sent to every executor.
