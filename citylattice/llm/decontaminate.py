@@ -5,9 +5,10 @@ A window is ``WINDOW`` consecutive words of a benchmark item; a shorter item is
 every shared passage of ``WINDOW`` words is found. Document windows whose fingerprint is a benchmark fingerprint are
 extended to the whole window and confirmed by two independent 64-bit hashes.
 
-The benchmark goes to the executors in slices of at most ``max_index_bytes`` of text, by the item's hash. One slice is
-the usual case; a larger benchmark takes one pass over the documents for each slice, with the same result, and the
-lineage is cut every few passes. Only fixed-size slices are ever sent out.
+The windows of the benchmark are hashed on the executors and become a table of distinct (length, fingerprint, both hashes,
+item). It goes out in slices of ``max_index_rows`` rows, dealt by a hash of window and item, so that neither long nor
+repeated items nor a window of many items make a slice larger. One slice is the usual case; a larger benchmark takes one
+pass over the documents for each slice, with the same result, and the lineage is cut every few passes.
 
 Null and empty texts have no words and no hits. Repeated item ids count once, a null item id marks words but is not
 listed. Repeated documents get a row each. Columns of the input that have the name of a result column are replaced.
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citylattice.llm import kernels as K
-from citylattice.llm.arrow import annotate
-from citylattice.session import cut
+from citylattice.llm.arrow import annotate, session
+from citylattice.session import cut, forget
 
 WINDOW, GRAM = 10, 5
 U64 = np.uint64
@@ -40,7 +41,7 @@ def _parse(column: pa.Array):
 
 
 def _second(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return K.mix(K.SECOND.spans(K.SECOND.prefix(low), start, end) ^ (end - start).astype(U64))
+    return K.mix(K.SECOND.spans(K.SECOND.prefix(low), start, end))
 
 
 def _at(hashes: np.ndarray, where: np.ndarray, k: int, salt: int) -> np.ndarray:
@@ -101,23 +102,35 @@ class _Table:
 class Index:
     """Windows of one slice of the benchmark, by their length in words."""
 
-    def __init__(self, ids: list, texts: list):
-        self.ids, rows = ids, {}
-        for lo, hi, low, start, end, by_text, h in _parse(pa.array(texts, type=pa.string())):
+    def __init__(self, windows: pa.Table):
+        self.ids, item = np.unique(windows.column("item").to_numpy(zero_copy_only=False).astype(object), return_inverse=True) if windows.num_rows else (np.zeros(0, object), np.zeros(0, int))
+        n = windows.column("n").to_numpy()
+        key, first, second = (windows.column(c).to_numpy().view(U64) for c in ("key", "first", "second"))
+        self.tables = {int(k): _Table(key[n == k], first[n == k], second[n == k], item[n == k]) for k in np.unique(n)}
+
+
+def _windows(batches):
+    """All windows of items (item, text)."""
+    for batch in batches:
+        for lo, hi, low, start, end, by_text, h in _parse(batch.column(1)):
             h2 = _second(low, start, end)
-            for i in range(lo, hi):
-                a, b = by_text[i - lo], by_text[i - lo + 1]
+            for i in range(hi - lo):
+                a, b = int(by_text[i]), int(by_text[i + 1])
                 if (n := min(WINDOW, b - a)) == 0:
                     continue
                 where = np.arange(a, b - n + 1)
                 first = _at(h, where, n, n)
                 key = _least(K.grams(h[a:b], GRAM), WINDOW - GRAM + 1) if n == WINDOW else first
-                rows.setdefault(int(n), []).append((key, first, _at(h2, where, n, n + 50), np.full(len(where), i)))
-        self.tables = {n: _Table(*map(np.concatenate, zip(*parts))) for n, parts in rows.items()}
+                items = batch.column(0).slice(lo + i, 1).take(pa.array(np.zeros(len(where), np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(where), n, np.int32)), *(pa.array(x.view(np.int64)) for x in (key, first, _at(h2, where, n, n + 50))), items], names=["n", "key", "first", "second", "item"])
+
+
+#: No item's id; a null id marks words but is not listed.
+NO_ITEM = "\0"
 
 
 def _marker(index: Index):
-    names = [None if i is None else str(i) for i in index.ids]
+    names = [None if i == NO_ITEM else i for i in index.ids]
 
     def compute(column: pa.Array, *before):
         n_rows = len(column)
@@ -178,25 +191,24 @@ def _merged(a, b, c, d):
     return [int(s) for s, _ in out], [int(e) for _, e in out]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_index_bytes: int = 8 << 20, keep_text: bool = True) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_index_rows: int = 1 << 18, keep_text: bool = True) -> DataFrame:
     """``docs`` with n_words, hit_starts and hit_ends (word ranges inside benchmark windows, ends exclusive) and items
     (ids, sorted as strings, of items that have a window in the text)."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = max(1, -(-int(total) // max_index_bytes))
+    session(docs.sparkSession)
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit(NO_ITEM)).alias("item"), F.col(item_text).alias("text")).where("text is not null")
+    windows = cut(items.mapInArrow(_windows, "n int, key long, first long, second long, item string").distinct())
+    n = max(1, -(-windows.count() // max_index_rows))
     out = docs
     for s in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == s)
-        rows = part.toArrow().to_pydict()
-        index = Index(rows["item_id"], rows["text"])
+        index = Index((windows if n == 1 else windows.where(F.pmod(F.xxhash64("first", "item"), F.lit(n)) == s)).toArrow())
         before = ["hit_starts", "hit_ends", "items"] if s else []
         out = annotate(out, [text, *before], lambda index=index: _marker(index), MARKS, drop=[text] if s == n - 1 and not keep_text else [])
         if s % 4 == 3 and s < n - 1:
             out = cut(out)
+    forget(windows)
     return out
 
 
-
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     marked = decontaminate(docs.select("doc_id", "text"), benchmark, keep_text=False, **options)

@@ -39,40 +39,89 @@ def seeds(n: int, salt: int) -> np.ndarray:
         return mix(mix(np.arange(n, dtype=U64) + U64(salt * 1_000_003)))
 
 
+#: Hashes are polynomials modulo this prime.
+PRIME = (1 << 61) - 1
+_P, _LOW32, _LOW29 = U64(PRIME), U64((1 << 32) - 1), U64((1 << 29) - 1)
+#: Positions that are worked on in one go, so that temporary arrays stay in the processor's cache.
+STEP = 1 << 15
+
+
+def _least(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for x below 2^64."""
+    x = (x & _P) + (x >> U64(61))
+    return np.minimum(x, x - _P)  # below the prime the difference wraps round and is the larger
+
+
+def _times32(x: np.ndarray) -> np.ndarray:
+    """Something below 2^62 that is x * 2^32 modulo the prime, for x below 2^62."""
+    return (x >> U64(29)) + ((x & _LOW29) << U64(32))
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, for values below it."""
+    a0, a1, b0, b1 = a & _LOW32, a >> U64(32), b & _LOW32, b >> U64(32)
+    low = a0 * b0
+    return _least((a1 * b1 << U64(3)) + _times32(a1 * b0 + a0 * b1) + (low & _P) + (low >> U64(61)))
+
+
 class Powers:
-    """Powers of an odd base and of its inverse modulo 2^64, grown when a longer slice comes."""
+    """Polynomial hashes modulo 2^61 - 1: powers of a base and of its inverse, grown when a longer slice comes. Two strings
+    of n bytes have the same hash for n of the 2^61 bases at most."""
 
     def __init__(self, salt: int):
-        self.base = int(seeds(1, salt)[0]) | 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.byte = seeds(256, salt + 1)
+        self.base = int(seeds(1, salt)[0]) % (PRIME - 2) + 2
+        self.inverse = pow(self.base, -1, PRIME)
         self.n = 0
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def _series(self, base: int, n: int) -> np.ndarray:
+        out = np.ones(n, dtype=U64)
+        done, factor = 1, base % PRIME
+        while done < n:
+            more = min(done, n - done)
+            with np.errstate(over="ignore"):
+                out[done : done + more] = product(out[:more], U64(factor))
+            done, factor = done + more, factor * factor % PRIME
+        return out
+
+    def _upto(self, n: int) -> None:
         if n > self.n:
             self.n = max(n, SLICE + 65536)
-            with np.errstate(over="ignore"):
-                both = []
-                for b in (self.base, self.inverse):
-                    steps = np.full(self.n, b, dtype=U64)
-                    steps[0] = 1
-                    both.append(np.cumprod(steps, dtype=U64))
-            self.up, self.down = both
-        return self.up[:n], self.down[:n]
+            up = self._series(self.base, self.n)
+            self.up_low, self.up_high = (up & _LOW32).astype(np.uint32), (up >> U64(32)).astype(np.uint32)
+            self.down = self._series(self.inverse, self.n)
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
-        """Prefix sums of byte value times base^position; one more entry than bytes."""
-        up, _ = self.upto(len(data) + 1)
+        """Prefix sums of (byte + 1) * base^position; one more entry than bytes."""
+        self._upto(len(data) + 1)
         out = np.zeros(len(data) + 1, dtype=U64)
         with np.errstate(over="ignore"):
-            np.cumsum(self.byte[data] * up[: len(data)], out=out[1:])
+            for at in range(0, len(data), STEP):
+                to = min(at + STEP, len(data))
+                value = data[at:to].astype(U64) + U64(1)
+                low, high = np.cumsum(value * self.up_low[at:to]), np.cumsum(value * self.up_high[at:to])
+                out[at + 1 : to + 1] = _least(_times32(high) + (low & _P) + (low >> U64(61)) + out[at])
         return out
 
     def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of data[start:end], equal for equal bytes wherever they stand."""
-        _, down = self.upto(len(prefix))
+        self._upto(len(prefix))
+        out = np.empty(len(start), dtype=U64)
         with np.errstate(over="ignore"):
-            return (prefix[end] - prefix[start]) * down[start]
+            for at in range(0, len(start), STEP):
+                s, e = start[at : at + STEP], end[at : at + STEP]
+                out[at : at + STEP] = product(_least(prefix[e] + _P - prefix[s]), self.down[s])
+        return out
+
+    def windows(self, prefix: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of all strings of ``size`` bytes, by where they start."""
+        self._upto(len(prefix))
+        n = max(0, len(prefix) - size)
+        out = np.empty(n, dtype=U64)
+        with np.errstate(over="ignore"):
+            for at in range(0, n, STEP):
+                to = min(at + STEP, n)
+                out[at:to] = product(_least(prefix[at + size : to + size] + _P - prefix[at:to]), self.down[at:to])
+        return out
 
 
 FIRST, SECOND = Powers(11), Powers(23)
@@ -123,7 +172,7 @@ def words(low: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndarr
 
 
 def word_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix(FIRST.spans(FIRST.prefix(low), start, end) + (end - start).astype(U64))
+    return mix(FIRST.spans(FIRST.prefix(low), start, end))
 
 
 def grams(hashes: np.ndarray, k: int, salt: int = 5) -> np.ndarray:
@@ -131,8 +180,7 @@ def grams(hashes: np.ndarray, k: int, salt: int = 5) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=U64)
-    factor = seeds(k, salt) | U64(1)
-    out = np.zeros(n, dtype=U64)
+    factor, out = seeds(k, salt) | U64(1), np.zeros(n, dtype=U64)
     with np.errstate(over="ignore"):
         for j in range(k):
             out += hashes[j : j + n] * factor[j]

@@ -8,14 +8,15 @@ one anchor are consecutive, so that an anchor with its whole context stands for
    occur once. A context that occurs twice settles its windows too: they are repeated.
 2. What is left are contexts that occur once while their anchor occurs elsewhere, at the borders of repeated passages.
    These, and one holder of each repeated context of the same anchor, meet by anchor, and their windows are compared by
-   128 bits: two polynomial hashes with independent bases, the second one verifying the first. Windows are sorted by
+   122 bits: two polynomial hashes modulo 2^61 - 1 with independent bases, the second one verifying the first. Windows are sorted by
    hash, not compared in pairs. The contexts of an anchor that has more than ``CHUNK`` of them are split, and their
    windows also meet by hash over all tasks.
 
 No group has to fit into a task. A filter of fixed size says which anchors can be repeated, so that the second reading
 gives few rows; it never decides.
 
-A document is known by its id and the hash of its text, so rows that repeat both share their result and count as two.
+A document is known by its id and the hash of its text, so rows that repeat both share their result and count as two; their
+places are listed once.
 Null and empty texts have no bytes. Texts shorter than ``LENGTH`` keep all.
 """
 
@@ -48,10 +49,9 @@ def anchors(data: np.ndarray, offs: np.ndarray):
     if n < span:
         return empty, empty, empty.view(U64), empty.view(U64), empty
     prefix = K.FIRST.prefix(data)
-    at = np.arange(n)
-    hashes = K.mix(K.FIRST.spans(prefix, at, at + GRAM))
+    hashes = K.mix(K.FIRST.windows(prefix, GRAM))
     low = U64(max(1, int(n).bit_length()))
-    key = hashes >> low << low | at.astype(U64)  # the place breaks ties, leftmost first
+    key = hashes >> low << low | np.arange(n, dtype=U64)  # the place breaks ties, leftmost first
     pad = -n % span
     blocks = np.concatenate([key, np.full(pad, np.iinfo(U64).max, U64)]).reshape(-1, span)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
@@ -92,10 +92,20 @@ def _filter_of(hashes: DataFrame) -> np.ndarray:
     return held
 
 
+def _unseen(batch: pa.RecordBatch, seen: set) -> pa.RecordBatch:
+    """The rows of a batch (id, text hash and so on) that are no repetition of a row seen before."""
+    keep = np.ones(batch.num_rows, dtype=bool)
+    for i, row in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+        keep[i] = row not in seen
+        seen.add(row)
+    return batch if keep.all() else batch.filter(pa.array(keep))
+
+
 def _occurrences(bits: np.ndarray):
     def run(batches):
+        seen = set()
         for batch in batches:
-            rows, parts = [], []
+            batch, rows, parts = _unseen(batch, seen), [], []
             for lo, _, data, offs in K.slices(batch.column(2)):
                 first, last, a, c, text = anchors(data, offs)
                 at = a >> U64(64 - FILTER_BITS)
@@ -113,7 +123,9 @@ def _occurrences(bits: np.ndarray):
 
 def _contexts(batches):
     """The bytes under the windows of each range of a text."""
+    seen = set()
     for batch in batches:
+        batch = _unseen(batch, seen)
         ids, th, column, ranges = (batch.column(i) for i in range(4))
         data, offs = K.text_buffers(column)
         counts = np.diff(ranges.offsets.to_numpy())
@@ -232,7 +244,7 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     known = cut(contexts.join(often, "a"))
     bits = _filter_of(known.select("a"))
     seen = given.mapInArrow(_occurrences(bits), "id long, th long, a long, c long, first int, last int")
-    found = cut(seen.join(known, ["a", "c"]).select("id", "th", "a", "c", "first", "last", "kinds", (F.col("n") > 1).alias("settled")))
+    found = cut(seen.join(known, ["a", "c"]).select("id", "th", "a", "c", "first", "last", "kinds", (F.col("n") > 1).alias("settled")).distinct())
     # to be compared: contexts that occur once, and one holder of each other context of the same anchor
     mixed = found.where("kinds > 1")
     place = F.struct("id", "th", "first", "last")
@@ -252,7 +264,8 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
         windows = cut(wide.mapInArrow(_spread, "id long, th long, first int, open boolean, h1 long, h2 long"))
         twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
         marks = marks.unionByName(windows.where("open").join(twice, ["h1", "h2"]).select("id", "th", "first", (F.col("first") + LENGTH).alias("end")))
-    return marks.groupBy("id", "th").agg(F.collect_list("first").alias("firsts"), F.collect_list("end").alias("ends"))
+    # rows that repeat id and text are one here, so a list is as long as its text allows
+    return marks.distinct().groupBy("id", "th").agg(F.collect_list("first").alias("firsts"), F.collect_list("end").alias("ends"))
 
 
 def _marked(docs: DataFrame, text: str, doc_id: str, kept: list[str]) -> DataFrame:

@@ -5,8 +5,8 @@ prefix; of several the longest wins, of equally long ones a block and then the s
 fits is judged by the model.
 
 The model learns from a small labelled URL table. ``label_by_rules`` makes one where none is given: the distinct URLs on
-which the rules decide, at most ``SAMPLE`` of each verdict, those of least hash. Only this bounded sample reaches the
-driver. With no labelled URL, or labels of one kind only, the model returns that kind, or allow.
+which the rules decide, at most ``SAMPLE`` of each verdict and ``SAMPLE_BYTES`` long, those of least hash. Only this bounded
+sample reaches the driver. With no labelled URL, or labels of one kind only, the model returns that kind, or allow.
 
 Null URLs and URLs without ``://`` have an empty host and path, which the model judges like any other. Repeated rows get
 a row each; columns of the input that have the name of a result are replaced.
@@ -26,8 +26,8 @@ from citylattice.llm import kernels as K
 from citylattice.llm.arrow import annotate
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-#: Labelled URLs of each verdict at most.
-SAMPLE = 2000
+#: Labelled URLs of each verdict at most, and their length in bytes at most.
+SAMPLE, SAMPLE_BYTES = 2000, 4096
 BITS, SIZES = 16, (1, 2, 3, 4, 5)
 #: Penalty on squared weights, and gradient steps.
 RIDGE, STEPS = 1e-4, 300
@@ -53,32 +53,32 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return fits
 
 
+def _padded(column: pa.Array):
+    """Slices of a field as (first row, bytes with a sign before and after each text, each byte's row)."""
+    for lo, hi, data, offs in K.slices(column):
+        n = hi - lo
+        padded = np.zeros(len(data) + 2 * n, dtype=np.uint8)
+        mine = np.ones(len(padded), dtype=bool)
+        starts = offs[:-1] + 2 * np.arange(n)
+        ends = offs[1:] + 2 * np.arange(n) + 1
+        mine[starts] = mine[ends] = False
+        padded[starts], padded[ends], padded[mine] = 1, 2, data
+        yield lo, padded, np.repeat(np.arange(n), np.diff(offs) + 2)
+
+
 def _features(host: pa.Array, path: pa.Array):
-    """(row, feature) of every n-gram of each field, with a sign before and after it; rows count from 0."""
-    rows, cells = [], []
+    """Parts of (row, feature): every n-gram of each field, with a sign before and after it; rows count from 0. A part has
+    about ``K.SLICE`` n-grams of one size at most, however long a URL is."""
     for field, column in enumerate((host, path)):
-        for lo, hi, data, offs in K.slices(column):
-            n = hi - lo
-            padded = np.zeros(len(data) + 2 * n, dtype=np.uint8)
-            mine = np.ones(len(padded), dtype=bool)
-            starts = offs[:-1] + 2 * np.arange(n)
-            ends = offs[1:] + 2 * np.arange(n) + 1
-            mine[starts] = mine[ends] = False
-            padded[starts], padded[ends], padded[mine] = 1, 2, data
-            row = np.repeat(np.arange(n), np.diff(offs) + 2)
-            prefix = K.FIRST.prefix(padded)
-            for k in SIZES:
-                at = np.arange(len(padded) - k + 1) if len(padded) >= k else np.zeros(0, np.int64)
-                at = at[row[at] == row[at + k - 1]] if len(at) else at
-                h = K.mix(K.FIRST.spans(prefix, at, at + k) + np.uint64(64 * field + k))
-                rows.append(row[at] + lo)
-                cells.append((h >> np.uint64(64 - BITS)).astype(np.int64))
-    return np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate(cells) if cells else np.zeros(0, np.int64)
-
-
-def _scale(row: np.ndarray, n: int) -> np.ndarray:
-    """One over the root of each row's n-grams, so that long URLs weigh like short ones."""
-    return 1.0 / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1))
+        for lo, padded, row in _padded(column):
+            for part in range(0, len(padded), K.SLICE):
+                data, owner = (x[part : part + K.SLICE + max(SIZES) - 1] for x in (padded, row))
+                prefix = K.FIRST.prefix(data)
+                for k in SIZES:
+                    at = np.arange(min(len(data) - k + 1, K.SLICE)) if len(data) >= k else np.zeros(0, np.int64)
+                    at = at[owner[at] == owner[at + k - 1]] if len(at) else at
+                    h = K.mix(K.FIRST.spans(prefix, at, at + k) + np.uint64(64 * field + k))
+                    yield owner[at] + lo, (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 class Model:
@@ -88,8 +88,12 @@ class Model:
     def score(self, host: pa.Array, path: pa.Array) -> np.ndarray:
         """Probability that a URL is to be blocked."""
         n = len(host)
-        row, cell = _features(host, path)
-        z = np.bincount(row, weights=self.weights[cell], minlength=n) * _scale(row, n) + self.bias
+        z, grams = np.zeros(n), np.zeros(n)
+        for row, cell in _features(host, path):
+            z += np.bincount(row, weights=self.weights[cell], minlength=n)
+            grams += np.bincount(row, minlength=n)
+        # over the root of a URL's n-grams, so that long URLs weigh like short ones
+        z = z / np.sqrt(np.maximum(grams, 1)) + self.bias
         return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -99,9 +103,8 @@ def fit(hosts: list[str], paths: list[str], blocked: list[bool]) -> Model:
     n, y = len(hosts), np.array(blocked, dtype=float)
     if not n or y.min() == y.max():
         return Model(np.zeros(1 << BITS), 20.0 if n and y[0] else -20.0)
-    row, cell = _features(pa.array(hosts, pa.string()), pa.array(paths, pa.string()))
-    scale = _scale(row, n)
-    value = scale[row]
+    row, cell = map(np.concatenate, zip(*_features(pa.array(hosts, pa.string()), pa.array(paths, pa.string()))))
+    value = (1.0 / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1)))[row]
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum()))
     w, v, b, vb = np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0
     for _ in range(STEPS):
@@ -120,7 +123,7 @@ def _parsed(df: DataFrame, url: str) -> DataFrame:
 
 def label_by_rules(urls: DataFrame, url: str = "url", sample: int = SAMPLE) -> DataFrame:
     """A small labelled table (url, verdict) from the URLs that the rules decide."""
-    known = _parsed(urls.select(F.col(url).alias("url")), "url").where("__rule is not null").select("url", F.col("__rule.verdict").alias("verdict")).distinct()
+    known = _parsed(urls.select(F.col(url).alias("url")).where(F.octet_length("url") <= SAMPLE_BYTES), "url").where("__rule is not null").select("url", F.col("__rule.verdict").alias("verdict")).distinct()
     parts = [known.where(F.col("verdict") == v).orderBy(F.xxhash64("url"), "url").limit(sample) for v in ("allow", "block")]
     return reduce(DataFrame.union, parts)
 

@@ -70,7 +70,7 @@ def test_small_cases(spark):
 
 def test_benchmark_in_slices_gives_the_same(spark):
     docs, items = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
-    assert rows(report(docs, items, max_index_bytes=80)) == brute(DOCS, ITEMS)
+    assert rows(report(docs, items, max_index_rows=3)) == brute(DOCS, ITEMS)
 
 
 def test_empty_tables(spark):
@@ -84,3 +84,11 @@ def test_clashing_columns(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert [tuple(r) for r in clean(docs, items).collect()] == [(2, "clean", 7, "b")]
     assert dict(decontaminate(docs, items).dtypes)["n_words"] == "bigint"
+
+
+def test_repeated_and_long_items_fill_no_slice(spark):
+    long = " ".join(f"w{i}" for i in range(3000))
+    items = spark.createDataFrame([(1, "same words in every row of this item " * 3)] * 2000 + [(2, long)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + " ".join(long.split()[2900:2950])), (2, "same words in every row of this item same words")], "doc_id long, text string")
+    once = [(1, "same words in every row of this item " * 3), (2, long)]
+    assert rows(report(docs, items, max_index_rows=1000)) == brute([tuple(r) for r in docs.collect()], once)

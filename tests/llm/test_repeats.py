@@ -69,3 +69,13 @@ def test_remove(spark):
     got = remove(docs)
     assert got.columns == docs.columns
     assert sorted(tuple(r) for r in got.collect()) == [(1, "own ", 5), (2, " mine", 6), (3, None, 7)]
+
+
+def test_many_equal_rows_give_short_lists(spark):
+    rng = random.Random(3)
+    one = "".join(rng.choice("abcdefgh ") for _ in range(1500))
+    docs = spark.range(10_000).selectExpr("cast(null as bigint) doc_id", f"'{one}' text")
+    found = repeats.repeated(docs).collect()
+    assert len(found) == 1 and len(found[0].firsts) <= 1500
+    got = {tuple(r) for r in report(docs).collect()}
+    assert len(got) == 1 and got.pop()[1:4] == (1500, 1500, 1)

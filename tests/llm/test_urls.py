@@ -1,11 +1,13 @@
 """Parsing and rules against plain Python, accuracy on labels held back, and edge cases."""
 
+import math
 import re
 
 import numpy as np
 import pyarrow as pa
 
-from citylattice.llm.urls import RULES, fit, judge, label_by_rules, learn, report
+from citylattice.llm import kernels as K
+from citylattice.llm.urls import BITS, RULES, SIZES, fit, judge, label_by_rules, learn, report
 
 
 def plain(url):
@@ -52,6 +54,38 @@ def test_held_out_accuracy(spark):
     assert np.mean((p >= 0.5) == [y for _, _, y in held]) > 0.95
 
 
+def gram_cells(host, path):
+    """Features of a URL by whole numbers instead of arrays."""
+    out = []
+    for field, value in enumerate((host, path)):
+        raw = b"\x01" + value.encode() + b"\x02"
+        for k in SIZES:
+            for i in range(len(raw) - k + 1):
+                h = sum((x + 1) * pow(K.FIRST.base, j, K.PRIME) for j, x in enumerate(raw[i : i + k])) % K.PRIME
+                out.append(int(K.mix(np.array([h + 64 * field + k], np.uint64))[0]) >> (64 - BITS))
+    return out
+
+
+def test_scores_equal_plain_sums(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    model = learn(label_by_rules(pages))
+    for r in report(pages.limit(60)).collect():
+        cells = gram_cells(r.host, r.path)
+        z = sum(model.weights[c] for c in cells) / math.sqrt(len(cells)) + model.bias
+        assert abs(r.p_block - 1 / (1 + math.exp(-max(-40, min(40, z))))) < 1e-9
+        assert r.rule or r.verdict == ("block" if r.p_block >= 0.5 else "allow")
+
+
+def test_long_urls_in_parts(spark, monkeypatch):
+    model = fit(["a.b", "c.d"], ["/x", "/y/z"], [True, False])
+    long = ["p" * 9 + str(i) * (i * 977) for i in range(12)]
+    whole = model.score(pa.array(["h.org"] * 12), pa.array(long))
+    monkeypatch.setattr(K, "SLICE", 64)
+    assert np.allclose(whole, model.score(pa.array(["h.org"] * 12), pa.array(long)), atol=1e-12)
+    df = spark.createDataFrame([(1, "http://x.org/" + "long/" * 1_000_000)], "page_id long, url string")
+    assert len(report(df).first().path) == 5_000_001
+
+
 def test_own_labels(spark):
     labelled = spark.createDataFrame([("http://casino.org/win", "block"), ("http://bonus-casino.org/spin", "block"), ("http://school.org/maths", "allow"), ("http://museum.org/art", "allow")], "url string, verdict string")
     df = spark.createDataFrame([(1, "http://casino.info/x"), (2, "http://school.info/art")], "page_id long, url string")
