@@ -37,10 +37,10 @@ PATTERNS = {
 SCREEN = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 #: Kind, pattern, screen, validator, score without context, words for and against it.
 PROPOSALS = [
-    ("card", r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{1,7})(?![0-9])", r"[0-9](?:[\x20-]?[0-9]){12}", "luhn", 0.6, r"card|visa|master|amex|credit|debit", r"isbn|order|serial|tracking|version"),
+    ("card", r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{1,7})(?![0-9])", r"[0-9](?:[\x20-]?[0-9]){12}", "luhn", 0.6, r"card|visa|mastercard|amex|credit|debit", r"isbn|order|serial|tracking|version"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", "mod97", 0.8, r"iban|account|bank|konto", r"part no|serial"),
     ("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "none", 0.4, r"ssn|social|security|taxpayer", r"part|order|version|ref"),
-    ("phone", r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", r"[0-9]{3}[\x20.)-]", "none", 0.3, r"call|phone|tel|mobile|fax|cell", r"order|isbn|version|part"),
+    ("phone", r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", r"[0-9]{3}[\x20.)-]", "none", 0.3, r"call|phone|telephone|tel|mobile|fax|cell", r"order|isbn|version|part"),
 ]
 
 
@@ -109,10 +109,11 @@ def _valid(kind: str, x: Column) -> Column:
 
 
 def _context(text: Column, x: Column, good: str, bad: str) -> Column:
-    """What the words around a proposal add to its score."""
+    """What the whole words around a proposal, or their plurals, add to its score."""
     from_ = F.greatest(x["start"] - NEAR, F.lit(0))
     near = F.lower(F.concat(F.substring(text, from_ + 1, x["start"] - from_), F.lit(" "), F.substring(text, x["end"] + 1, F.lit(NEAR))))
-    return F.when(near.rlike(good), 0.3).otherwise(0.0) - F.when(near.rlike(bad), 0.4).otherwise(0.0)
+    whole = lambda words: rf"(?<![a-z])(?:{words})s?(?![a-z])"
+    return F.when(near.rlike(whole(good)), 0.3).otherwise(0.0) - F.when(near.rlike(whole(bad)), 0.4).otherwise(0.0)
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:

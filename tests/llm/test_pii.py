@@ -72,6 +72,12 @@ def test_additions(spark):
     assert tuple(one) == (True, False, True, False)
 
 
+def test_context_is_whole_words(spark):
+    cases = ["the hotel preferred 555-123-4567", "I tell 555-123-4567", "tel. 555-123-4567", "Phones: 555-123-4567 in the party", "call 555-123-4567 about orders"]
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert {r.doc_id for r in find(docs).collect() if r.pii} == {2, 3}
+
+
 def test_redact(spark):
     rows = [(1, "a@b.co and 10.0.0.1.", "en", 20, "x"), (2, None, None, None, "y"), (3, "clean", "en", 5, None), (3, "é +1 (771) 555-1655", "fr", 19, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long, pii string")
