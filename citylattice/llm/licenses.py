@@ -72,6 +72,9 @@ TEMPLATES = [
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    # the identifiers of one-line headers
+    *[(name, f"SPDX-License-Identifier: {name}") for name in ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0", "CC-BY-4.0")],
+    *[(name, f"SPDX-License-Identifier: {name}-{end}") for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for end in ("only", "or-later")],
     ("CC0-1.0", "CC0 1.0 Universal Statement of Purpose The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights upon the creator and subsequent owner(s) of an original work of authorship and/or a database (each, a \"Work\")."),
 ]
 
@@ -108,6 +111,11 @@ class Templates:
         # what one use of a word adds to the dot product with each template; nothing for other words
         self.adds = np.vstack([(self.unit * self.idf[:-1]).T, np.zeros(len(self.names))])
         self.rows = np.ascontiguousarray(self.adds.T)
+        # words of each template without any of which no list of words can reach ``CLOSE``
+        self.needed = np.zeros((len(self.names), len(self.vocabulary) + 1), dtype=bool)
+        for t, unit in enumerate(self.unit):
+            order = np.argsort(unit, kind="stable")
+            self.needed[t, order[np.cumsum(unit[order] ** 2) >= (CLOSE - 1e-6) ** 2]] = True
         return self
 
     def cosines(self, h: np.ndarray) -> np.ndarray:
@@ -136,13 +144,20 @@ class Templates:
         """(start, end, template, cosine) of the runs of as many words as a template has, inside a text, that reach
         ``CLOSE`` with it."""
         weight = np.concatenate([[0.0], np.cumsum(self.idf[at] ** 2)])
+        known = np.flatnonzero(at < len(self.vocabulary))
         for t, n in enumerate(self.counts.sum(axis=1).astype(int)):
-            if n > len(h):
+            held = known[self.needed[t][at[known]]]
+            if n > len(h) or not len(held):
                 continue
+            # starts of runs that hold a needed word
+            edge = np.zeros(len(h) + 1, np.int64)
+            np.add.at(edge, np.maximum(held - n + 1, 0), 1)
+            np.add.at(edge, held + 1, -1)
+            starts = np.flatnonzero(np.cumsum(edge[: len(h) - n + 1]) > 0)
             sums = np.concatenate([[0.0], np.cumsum(self.rows[t][at])])
-            dots = sums[n:] - sums[:-n]
-            likely = (dots * dots >= (CLOSE * CLOSE - 1e-6) * (weight[n:] - weight[:-n])) & (text[n - 1 :] == text[: len(text) - n + 1])
-            for s in np.flatnonzero(likely):
+            dots = sums[starts + n] - sums[starts]
+            likely = (dots * dots >= (CLOSE * CLOSE - 1e-6) * (weight[starts + n] - weight[starts])) & (text[starts + n - 1] == text[starts])
+            for s in starts[likely]:
                 exact = self.cosines(h[s : s + n])[t]
                 if exact >= CLOSE:
                     yield int(s), int(s + n), t, float(exact)

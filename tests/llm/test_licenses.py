@@ -112,3 +112,9 @@ def test_wrapped_headers_prose_and_whole_licences(spark):
     files = spark.createDataFrame([(f"d{i}/x", t) for i, (t, _) in enumerate(cases)], "path string, text string")
     got = {r.path: r.own_license for r in scan(files).collect()}
     assert [got[f"d{i}/x"] for i in range(len(cases))] == [want for _, want in cases]
+
+
+def test_identifiers(spark):
+    lines = {"MIT": "// SPDX-License-Identifier: MIT", "Apache-2.0": "# spdx-license-identifier: Apache-2.0", "GPL-3.0": "/* SPDX-License-Identifier: GPL-3.0-or-later */", "LGPL-2.1": "SPDX-License-Identifier: LGPL-2.1-only"}
+    df = spark.createDataFrame([(n, f"first line\n{t}\nint main() {{}}") for n, t in lines.items()], "path string, text string")
+    assert {r.path: r.own_license for r in scan(df).collect()} == {n: n for n in lines}
