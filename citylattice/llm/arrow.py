@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from citylattice.session import prepare
 
 #: Rows and bytes of one Arrow batch at most.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def session(spark: SparkSession) -> SparkSession:

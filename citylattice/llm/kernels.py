@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2 << 20
+SLICE = 1 << 18
 U64 = np.uint64
 
 LOWER = np.arange(256, dtype=np.uint8)
