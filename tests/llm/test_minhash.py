@@ -69,6 +69,7 @@ def test_components_by_heads_and_by_blocks(spark, monkeypatch):
     assert rows(report(docs)) == want
     monkeypatch.setattr(minhash, "ROUNDS", 0)
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "LARGE", 30)
     assert rows(report(docs)) == want
 
 
@@ -91,6 +92,18 @@ def test_keep_one_of_components_that_share_an_id(spark):
     assert sorted(map(str, want)) == sorted(str((r.doc_id, r.text)) for r in keep_one(docs).collect())
 
 
+def test_keep_one_does_not_depend_on_order(spark):
+    data = [(1, "a b c d e f", lang, source, 1) for lang in ("en", "de", None) for source in ("z", "y", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    got = {str(keep_one(spark.createDataFrame(x, schema).repartition(n)).collect()) for x, n in ((data, 3), (data[::-1], 2))}
+    assert len(got) == 1
+
+
+def test_all_pairs_of_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    assert rows(report(docs)) == brute([tuple(r) for r in docs.collect()])
+
+
 def test_long_path(spark):
     edges = spark.range(200).selectExpr("lpad(string((id * 7919) % 1009), 5, '0') u", "lpad(string(((id + 1) * 7919) % 1009), 5, '0') v")
     got = components(edges).collect()
