@@ -13,8 +13,8 @@ from citylattice.sources import readers, sinks
 N, SQL = A.N, A.CITY_SQL
 QUERIES: dict = {}
 ORACLES: dict = {}
-#: Small cities for the queries that march rays.
-SMALL = 16
+#: Side of the low city of the queries that march rays.
+SMALL = N
 
 
 def query(sql: str | None = None, city: bool = True):
@@ -43,18 +43,18 @@ def city(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_city(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole metres and low buildings on SMALL x SMALL cells: (i, j, bh, bid, segs, code, z, top, bottom)."""
-    c = A.cells(spark).where(f"i < {SMALL} and j < {SMALL}")
-    at = raster.covered(A.buildings(spark, sf_dir).where("id % 7 = 0")).groupBy("i", "j").agg((F.max("id") % 5 + 1).cast("double").alias("bh"), F.max("id").alias("bid"))
+    """All buildings, low and in whole metres, with streets between them: (i, j, bh, bid, segs, code, z, top, bottom)."""
+    c = A.cells(spark)
+    at = raster.covered(A.buildings(spark, sf_dir)).where("not (i % 4 = 1 or j % 5 = 2)").groupBy("i", "j").agg((F.max("id") % 5 + 1).cast("double").alias("bh"), F.max("id").alias("bid"))
     g = c.join(at, ["i", "j"], "left").select("i", "j", F.coalesce("bh", F.lit(0.0)).alias("bh"), F.coalesce("bid", F.lit(0)).alias("bid"))
     tree = (F.col("bid") == 0) & ((F.col("i") * 5 + F.col("j") * 3) % 11 == 0)
     return g.select("i", "j", "bh", "bid", F.when(F.col("bh") > 0, F.array(F.struct(F.lit(0.0).alias("lo"), F.col("bh").alias("hi")))).otherwise(F.array().cast("array<struct<lo:double,hi:double>>")).alias("segs"), ((F.col("i") + F.col("j")) % 12 + 1).cast("int").alias("code"), F.lit(0.0).alias("z"), F.when(tree, 4.0).otherwise(0.0).alias("top"), F.when(tree, 2.0).otherwise(0.0).alias("bottom"))
 
 
 SMALL_SQL = f"""
-stamp AS (SELECT i, j, max(id) AS bid FROM (SELECT id, i, unnest(range(j0, j1)) AS j FROM (SELECT *, unnest(range(i0, i1)) AS i FROM buildings WHERE id % 7 = 0 AND i0 < i1 AND j0 < j1)) GROUP BY 1, 2),
+stamp AS (SELECT i, j, max(id) AS bid FROM (SELECT id, i, unnest(range(j0, j1)) AS j FROM (SELECT *, unnest(range(i0, i1)) AS i FROM buildings WHERE i0 < i1 AND j0 < j1)) WHERE NOT (i % 4 = 1 OR j % 5 = 2) GROUP BY 1, 2),
 small AS (SELECT c.i, c.j, coalesce(stamp.bid, 0) AS bid, CASE WHEN stamp.bid IS NULL THEN 0 ELSE stamp.bid % 5 + 1 END::INT AS bh, (stamp.bid IS NULL AND (c.i * 5 + c.j * 3) % 11 = 0) AS tree, ((c.i + c.j) % 12 + 1)::INT AS lc
-  FROM cells c LEFT JOIN stamp USING (i, j) WHERE c.i < {SMALL} AND c.j < {SMALL}),
+  FROM cells c LEFT JOIN stamp USING (i, j)),
 nz AS (SELECT max(greatest(bh, CASE WHEN tree THEN 4 ELSE 0 END)) + 1 AS nz FROM small),
 vox AS (SELECT i, j, k::INT AS k, bid, CASE WHEN k >= 1 AND k < 1 + bh THEN -3 WHEN tree AND k >= 3 AND k < 5 THEN -2 WHEN k = 0 THEN lc ELSE 0 END::INT AS code FROM small, nz, range(nz) r(k))
 """
@@ -192,16 +192,16 @@ def bld_height_from_ref(spark, d):
     return vectors.transfer_heights(p, r).select("id", F.round("height", 6).alias("height"))
 
 
-@query("few AS (SELECT * FROM buildings WHERE id % 5 = 0), ref AS (SELECT * FROM buildings WHERE id % 40 = 1), lone AS (SELECT * FROM ref r WHERE NOT EXISTS (SELECT 1 FROM few p WHERE p.i0 < r.i1 AND r.i0 < p.i1 AND p.j0 < r.j1 AND r.j0 < p.j1)) SELECT id, height FROM few UNION ALL SELECT (SELECT max(id) FROM few) + row_number() OVER (ORDER BY id) AS id, height FROM lone")
+@query("few AS (SELECT * FROM buildings WHERE id % 5 = 0), ref AS (SELECT * FROM buildings WHERE id % 5 <> 0), lone AS (SELECT * FROM ref r WHERE NOT EXISTS (SELECT 1 FROM few p WHERE p.i0 < r.i1 AND r.i0 < p.i1 AND p.j0 < r.j1 AND r.j0 < p.j1)) SELECT id, height FROM few UNION ALL SELECT (SELECT max(id) FROM few) + row_number() OVER (ORDER BY id) AS id, height FROM lone")
 def bld_height_complement_append(spark, d):
     b = A.buildings(spark, d)
-    return vectors.append_unmatched(b.where("id % 5 = 0"), b.where("id % 40 = 1")).select("id", "height")
+    return vectors.append_unmatched(b.where("id % 5 = 0"), b.where("id % 5 <> 0")).select("id", "height")
 
 
-@query("f AS (SELECT id, height FROM buildings WHERE id % 2 = 0), s AS (SELECT CASE WHEN id % 3 = 0 THEN id + 1 ELSE id END AS id, height FROM buildings WHERE id % 2 = 1 AND id % 9 <> 2), t AS (SELECT DISTINCT id FROM s WHERE id IN (SELECT id FROM f)), top AS (SELECT max(id) AS m FROM (SELECT id FROM f UNION ALL SELECT id FROM s)), n AS (SELECT id, m + row_number() OVER (ORDER BY id) AS fresh FROM t, top) SELECT id, height FROM f UNION ALL SELECT coalesce(n.fresh, s.id) AS id, height FROM s LEFT JOIN n USING (id)")
+@query("f AS (SELECT id, height FROM buildings WHERE id % 2 = 0), s AS (SELECT CASE WHEN id % 3 = 0 THEN id + 1 ELSE id END AS id, height FROM buildings WHERE id % 2 = 1), t AS (SELECT DISTINCT id FROM s WHERE id IN (SELECT id FROM f)), top AS (SELECT max(id) AS m FROM (SELECT id FROM f UNION ALL SELECT id FROM s)), n AS (SELECT id, m + row_number() OVER (ORDER BY id) AS fresh FROM t, top) SELECT id, height FROM f UNION ALL SELECT coalesce(n.fresh, s.id) AS id, height FROM s LEFT JOIN n USING (id)")
 def bld_merge_id_conflict(spark, d):
     b = A.buildings(spark, d)
-    second = b.where("id % 2 = 1 and id % 9 <> 2").select(F.when(F.col("id") % 3 == 0, F.col("id") + 1).otherwise(F.col("id")).alias("id"), "height")
+    second = b.where("id % 2 = 1").select(F.when(F.col("id") % 3 == 0, F.col("id") + 1).otherwise(F.col("id")).alias("id"), "height")
     return vectors.merge_ids(b.where("id % 2 = 0").select("id", "height"), second)
 
 
@@ -414,10 +414,10 @@ def material_windows(spark, d):
     return voxels.windows(_small_voxels(spark, d)).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"{TALL_SQL}, e AS (SELECT (o_orderkey % 48)::INT AS i, (o_custkey % 48)::INT AS j, arg_max(o_orderkey % 40, o_orderkey)::DOUBLE AS nh, max(o_orderkey) + 100000000 AS nid FROM orders WHERE o_orderkey % 50 = 0 GROUP BY 1, 2) SELECT t.i, t.j, CASE WHEN e.i IS NULL THEN bh ELSE nh END AS bh, CASE WHEN e.i IS NULL THEN bid ELSE nid END AS bid FROM tall t LEFT JOIN e USING (i, j)")
+@query(f"{TALL_SQL}, e AS (SELECT (o_orderkey % 48)::INT AS i, (o_custkey % 48)::INT AS j, arg_max(o_orderkey % 40, o_orderkey)::DOUBLE AS nh, max(o_orderkey) + 100000000 AS nid FROM orders GROUP BY 1, 2) SELECT t.i, t.j, CASE WHEN e.i IS NULL THEN bh ELSE nh END AS bh, CASE WHEN e.i IS NULL THEN bid ELSE nid END AS bid FROM tall t LEFT JOIN e USING (i, j)")
 def edit_batch(spark, d):
     o = F.col("o_orderkey")
-    e = A.table(spark, d, "orders").where(o % 50 == 0).select((o % N).cast("int").alias("i"), (F.col("o_custkey") % N).cast("int").alias("j"), (o % 40).cast("double").alias("bh"), (o + 100000000).alias("bid"), o.alias("ord"))
+    e = A.table(spark, d, "orders").select((o % N).cast("int").alias("i"), (F.col("o_custkey") % N).cast("int").alias("j"), (o % 40).cast("double").alias("bh"), (o + 100000000).alias("bid"), o.alias("ord"))
     grid = raster.tallest(A.cells(spark), A.buildings(spark, d)).withColumn("bh", F.col("bh"))
     return edits.add_buildings(grid, e).select("i", "j", "bh", "bid")
 
@@ -428,15 +428,16 @@ def edit_delete(spark, d):
     return edits.delete_buildings(raster.tallest(A.cells(spark), A.buildings(spark, d)), ids).select("i", "j", "bh", "bid")
 
 
-@query(f"{SMALL_SQL}, g AS (SELECT *, i < 2 OR j < 2 OR i >= 14 OR j >= 14 AS band FROM small) SELECT i, j, bid, CASE WHEN bid <> 0 AND bid IN (SELECT bid FROM g WHERE band AND bid <> 0) THEN 0.0 ELSE bh END::DOUBLE AS bh, CASE WHEN band OR NOT tree THEN 0.0 ELSE 4.0 END::DOUBLE AS top, CASE WHEN band THEN 11 ELSE lc END::INT AS code FROM g")
+@query(f"{SMALL_SQL}, g AS (SELECT *, i < 2 OR j < 2 OR i >= {SMALL - 2} OR j >= {SMALL - 2} AS band FROM small) SELECT i, j, bid, CASE WHEN bid <> 0 AND bid IN (SELECT bid FROM g WHERE band AND bid <> 0) THEN 0.0 ELSE bh END::DOUBLE AS bh, CASE WHEN band OR NOT tree THEN 0.0 ELSE 4.0 END::DOUBLE AS top, CASE WHEN band THEN 11 ELSE lc END::INT AS code FROM g")
 def perimeter_cleanup(spark, d):
     return edits.clear_border(small_city(spark, d), (SMALL, SMALL), 2).select("i", "j", "bid", "bh", "top", "code")
 
 
-@query(f"{SMALL_SQL} SELECT c.i, c.j, coalesce(s.bid, -1) AS bid FROM (SELECT (x // 20)::INT AS i, (x % 20)::INT AS j FROM range(400) t(x)) c LEFT JOIN small s ON s.i = c.i - 2 AND s.j = c.j - 2")
+@query(f"{SMALL_SQL} SELECT c.i, c.j, coalesce(s.bid, -1) AS bid FROM (SELECT (x // {SMALL + 4})::INT AS i, (x % {SMALL + 4})::INT AS j FROM range({(SMALL + 4) ** 2}) t(x)) c LEFT JOIN small s ON s.i = c.i - 2 AND s.j = c.j - 2")
 def pad_crop(spark, d):
-    spine = spark.range(400).select((F.col("id") / 20).cast("int").alias("i"), (F.col("id") % 20).cast("int").alias("j"))
-    return raster.pad_crop(small_city(spark, d), spine, (20, 20), "bid", -1)
+    side = SMALL + 4
+    spine = spark.range(side * side).select((F.col("id") / side).cast("int").alias("i"), (F.col("id") % side).cast("int").alias("j"))
+    return raster.pad_crop(small_city(spark, d), spine, (side, side), "bid", -1)
 
 
 @query(f"{SMALL_SQL} SELECT a.i, a.j, max(b.bh)::DOUBLE AS out FROM small a JOIN small b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 GROUP BY 1, 2")
@@ -550,12 +551,12 @@ def dem_nearest_whole(spark, d):
     return raster.nearest_of_all(A.cells(spark), _samples(spark, d))
 
 
-WET = "wet AS (SELECT i, j, CASE WHEN (i // 3 + j // 4) % 3 = 0 THEN 9 ELSE 1 END AS code, ((i * 7 + j * 5) % 23)::DOUBLE AS z FROM cells WHERE i < 12 AND j < 12)"
+WET = "wet AS (SELECT i, j, CASE WHEN (i // 3 + j // 4) % 3 = 0 THEN 9 ELSE 1 END AS code, ((i * 7 + j * 5) % 23)::DOUBLE AS z FROM cells)"
 
 
 @query(f"{WET}, w AS (SELECT i, j, z FROM wet WHERE code = 9), r AS (WITH RECURSIVE reach(si, sj, i, j) AS (SELECT i, j, i, j FROM w UNION SELECT r.si, r.sj, w.i, w.j FROM reach r JOIN w ON abs(w.i - r.i) <= 1 AND abs(w.j - r.j) <= 1) SELECT * FROM reach), low AS (SELECT si AS i, sj AS j, min(w.z) AS z FROM r JOIN w ON w.i = r.i AND w.j = r.j GROUP BY 1, 2) SELECT wet.i, wet.j, coalesce(low.z, wet.z) AS z FROM wet LEFT JOIN low USING (i, j)")
 def dem_water_flatten(spark, d):
-    g = A.cells(spark).where("i < 12 and j < 12").select("i", "j", F.when((F.floor(F.col("i") / 3) + F.floor(F.col("j") / 4)) % 3 == 0, 9).otherwise(1).alias("code"), ((F.col("i") * 7 + F.col("j") * 5) % 23).cast("double").alias("z"))
+    g = A.cells(spark).select("i", "j", F.when((F.floor(F.col("i") / 3) + F.floor(F.col("j") / 4)) % 3 == 0, 9).otherwise(1).alias("code"), ((F.col("i") * 7 + F.col("j") * 5) % 23).cast("double").alias("z"))
     return raster.flatten_water(g).select("i", "j", "z")
 
 
@@ -615,19 +616,21 @@ def terrain_following_slice(spark, d):
     return voxels.follow_terrain(voxels.packed(v), flux, 1)
 
 
-HITS = "h AS (SELECT l_orderkey % 48 AS i, l_partkey % 48 AS j, l_quantity * 0.7::DOUBLE AS z FROM lineitem WHERE l_suppkey % 97 = 0 GROUP BY 1, 2, 3)"
+HITS = "h AS (SELECT l_orderkey % 48 AS i, l_partkey % 48 AS j, l_quantity * 0.7::DOUBLE AS z FROM lineitem GROUP BY 1, 2, 3)"
 
 
 @query(f"{HITS}, n AS (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY z) AS rn, count(*) OVER (PARTITION BY i, j) AS n FROM h), p AS (SELECT i, j, (rn + 1) // 2 AS pair, min(z) AS a, max(z) AS b FROM n WHERE n % 2 = 0 GROUP BY 1, 2, 3 UNION ALL SELECT i, j, 0, min(z), max(z) FROM n WHERE n % 2 = 1 AND n > 1 GROUP BY 1, 2), q AS (SELECT i, j, floor(a + 0.5)::INT AS k0, floor(b + 0.5)::INT AS k1 FROM p) SELECT i::INT AS i, j::INT AS j, k0, k1 FROM q WHERE k0 < k1")
 def mesh_hit_pairs(spark, d):
-    h = A.table(spark, d, "lineitem").where("l_suppkey % 97 = 0").select((F.col("l_orderkey") % N).cast("int").alias("i"), (F.col("l_partkey") % N).cast("int").alias("j"), (F.col("l_quantity") * 0.7).alias("z")).distinct()
+    h = A.table(spark, d, "lineitem").select((F.col("l_orderkey") % N).cast("int").alias("i"), (F.col("l_partkey") % N).cast("int").alias("j"), (F.col("l_quantity") * 0.7).alias("z")).distinct()
     return voxels.paired_hits(h)
 
 
 @query()
 def greedy_rectangles(spark, d):
-    """Roof rectangles of each level; an ordered greedy choice, checked by a test instead of SQL."""
-    roof = voxels.faces(_small_voxels(spark, d)).where("dk = 1").select(F.concat(F.lit("z"), F.col("k").cast("string")).alias("plane"), F.col("i").alias("a"), F.col("j").alias("b"))
+    """Roof rectangles of each level of each building; an ordered greedy choice, checked by a test instead of SQL."""
+    c = small_city(spark, d)
+    roof = voxels.faces(voxels.voxelise(c)).where("dk = 1").join(c.select("i", "j", "bid"), ["i", "j"])
+    roof = roof.select(F.concat_ws("_", "bid", "k").alias("plane"), F.col("i").alias("a"), F.col("j").alias("b"))
     return voxels.rectangles(roof)
 
 
@@ -639,10 +642,10 @@ def osm_classify(spark, d):
     return A.table(spark, d, "part").select(p.alias("id"), readers.classify_tags(tags).alias("code"))
 
 
-@query("w AS (SELECT o_orderkey AS way, unnest([o_custkey, o_custkey + 7, o_custkey + 30]) AS node, unnest([0, 1, 2]) AS pos FROM orders WHERE o_orderkey % 20 = 0), j AS (SELECT w.*, c.c_custkey AS hit FROM w LEFT JOIN customer c ON c.c_custkey = w.node) SELECT way, (CASE WHEN count(*) = count(hit) THEN 3 ELSE 0 END)::INT AS points, CASE WHEN count(*) = count(hit) THEN arg_min(hit, pos)::DOUBLE END AS x0 FROM j GROUP BY 1")
+@query("w AS (SELECT o_orderkey AS way, unnest([o_custkey, o_custkey + 7, o_custkey + 30]) AS node, unnest([0, 1, 2]) AS pos FROM orders), j AS (SELECT w.*, c.c_custkey AS hit FROM w LEFT JOIN customer c ON c.c_custkey = w.node) SELECT way, (CASE WHEN count(*) = count(hit) THEN 3 ELSE 0 END)::INT AS points, CASE WHEN count(*) = count(hit) THEN arg_min(hit, pos)::DOUBLE END AS x0 FROM j GROUP BY 1")
 def osm_way_points(spark, d):
     o, k = F.col("o_orderkey"), F.col("o_custkey")
-    ways = A.table(spark, d, "orders").where(o % 20 == 0).select(o.alias("way"), F.array(k, k + 7, k + 30).alias("nodes"))
+    ways = A.table(spark, d, "orders").select(o.alias("way"), F.array(k, k + 7, k + 30).alias("nodes"))
     nodes = A.table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.col("c_custkey").cast("double").alias("lon"), F.lit(0.0).alias("lat"))
     return readers.way_points(ways, nodes).select("way", F.size("ring").alias("points"), F.get("ring", 0)["x"].alias("x0"))
 
@@ -678,7 +681,7 @@ def face_view_factor(spark, d):
     return f.withColumn("value", F.round("value", 6))
 
 
-LINKS = "s AS (SELECT s_suppkey AS surface, s_acctbal::DOUBLE AS flux, 0.1 + s_nationkey % 5 * 0.1 AS albedo FROM supplier), l AS (SELECT DISTINCT l_suppkey AS source, l_partkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS target FROM lineitem WHERE l_orderkey % 40 = 0), lk AS (SELECT source, target, (source + target) % 7 * 0.02 AS share FROM l)"
+LINKS = "s AS (SELECT s_suppkey AS surface, s_acctbal::DOUBLE AS flux, 0.1 + s_nationkey % 5 * 0.1 AS albedo FROM supplier), l AS (SELECT DISTINCT l_suppkey AS source, l_partkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS target FROM lineitem), lk AS (SELECT source, target, (source + target) % 7 * 0.02 AS share FROM l)"
 
 
 @query(f"""{LINKS},
@@ -691,7 +694,7 @@ def reflections_3(spark, d):
     """Three bounces over a sparse view-factor matrix."""
     s = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("surface"), F.col("s_acctbal").alias("flux"), (0.1 + F.col("s_nationkey") % 5 * 0.1).alias("albedo"))
     top = s.agg(F.max("surface")).first()[0]
-    l = A.table(spark, d, "lineitem").where("l_orderkey % 40 = 0").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % top + 1).alias("target")).distinct()  # noqa: E741
+    l = A.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % top + 1).alias("target")).distinct()  # noqa: E741
     links = l.withColumn("share", (F.col("source") + F.col("target")) % 7 * 0.02)
     return rays.reflect(s, links).withColumn("total", F.round("total", 4))
 
