@@ -43,3 +43,29 @@ def clear_border(cell: DataFrame, shape: tuple[int, int], width: int, developed:
     gone = cell.where(band & (F.col("bid") != 0)).select("bid", F.lit(True).alias("gone")).distinct()
     joined = cell.join(gone, "bid", "left")
     return joined.withColumns({"bh": F.when(F.col("gone"), 0.0).otherwise(F.col("bh")), "top": F.when(band, 0.0).otherwise(F.col("top")), "code": F.when(band, developed).otherwise(F.col("code"))}).drop("gone")
+
+
+def finite_pairs(segs: str):
+    """Segments whose ends are numbers."""
+    number = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    return F.filter(F.coalesce(F.col(segs), F.array().cast("array<struct<lo:double,hi:double>>")), lambda s: number(s["lo"]) & number(s["hi"]))
+
+
+def set_trees(cell: DataFrame, edits: DataFrame) -> DataFrame:
+    """Canopy tops and bottoms of cells by edits (i, j, top, bottom, ord); 0 and 0 take trees away. Edits outside the grid
+    change nothing, and of several of one cell the last one holds."""
+    joined = cell.join(_last(edits, ["i", "j"]), ["i", "j"], "left")
+    return joined.withColumns({"top": F.coalesce("new_top", "top"), "bottom": F.coalesce("new_bottom", "bottom")}).drop("new_top", "new_bottom")
+
+
+def paint_classes(cell: DataFrame, edits: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Classes of cells by edits (i, j, code, ord) with standard classes from 1; ``names`` are the classes of the cells' own
+    source from 0. A class that the source lacks keeps its number."""
+    from citylattice.functions import dims
+
+    code = F.col("new_code")
+    for n, name in enumerate(dims.STANDARD, 1):
+        if names and name in names:
+            code = F.when(F.col("new_code") == n, F.lit(names.index(name))).otherwise(code)
+    joined = cell.join(_last(edits, ["i", "j"]), ["i", "j"], "left")
+    return joined.withColumn("code", F.coalesce(code, F.col("code")).cast("int")).drop("new_code")

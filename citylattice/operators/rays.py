@@ -60,7 +60,8 @@ def view(observers: DataFrame, rays: DataFrame, columns: DataFrame, shape: tuple
     """(i, j, value): mean contribution of the rays of each observer.
 
     Without ``inclusion`` a ray counts by its transmission through trees unless it meets a voxel that is neither a target
-    nor tree (targets are what may be passed). With it, a ray counts once it meets a target before anything else solid.
+    nor tree (targets are what may be passed). With it, a ray counts once it meets a target before anything else solid; if
+    trees are targets too, it counts by what the first tree voxel takes of it, and other targets count nothing.
     Rays whose transmission falls below the cut-off count nothing.
     """
     side = columns.select(F.col("i").alias("vi"), F.col("j").alias("vj"), "codes")
@@ -68,6 +69,11 @@ def view(observers: DataFrame, rays: DataFrame, columns: DataFrame, shape: tuple
     code = F.col("code")
     if inclusion:
         goal, stop = code.isin(*targets), (code != dims.AIR) & (code != dims.TREE) & ~code.isin(*targets)
+        if dims.TREE in targets:
+            met = steps.groupBy("i", "j", "ray").agg(F.min(F.when(goal, F.struct("n", "code", "length"))).alias("hit"), F.min(F.when(stop, F.col("n"))).alias("end"))
+            first = met.where("hit is not null and (end is null or hit.n < end)").select("i", "j", "ray", "hit.code", F.exp(-tree_k * lad * mesh * F.col("hit.length")).alias("t"))
+            taken = met.select("i", "j", "ray").join(first, ["i", "j", "ray"], "left")
+            return taken.groupBy("i", "j").agg(F.avg(F.when((F.col("code") == dims.TREE) & (F.col("t") >= CUTOFF), 1.0 - F.col("t")).otherwise(0.0)).alias("value"))
     else:
         goal, stop = F.lit(False), ~code.isin(*targets) & (code != dims.TREE)
     first = steps.groupBy("i", "j", "ray").agg(F.min(F.when(goal, F.col("n"))).alias("hit"), F.min(F.when(stop, F.col("n"))).alias("end"), F.collect_list(F.when((code == dims.TREE), F.struct("n", "length"))).alias("trees"))
@@ -148,3 +154,98 @@ def reflect(direct: DataFrame, links: DataFrame, bounces: int = 3) -> DataFrame:
         gain = out.select(F.col("surface").alias("source"), "leaving").where("leaving > 0.01").join(strong, "source").groupBy(F.col("target").alias("surface")).agg(F.sum(F.col("leaving") * F.col("share")).alias("gain"))
         out = cut(out.join(gain, "surface", "left").select("surface", (F.col("total") + F.coalesce("gain", F.lit(0.0))).alias("total"), (F.coalesce("gain", F.lit(0.0)) * F.col("albedo")).alias("leaving"), "albedo"))
     return out.select("surface", "total")
+
+
+def face_transmissions(faces: DataFrame, rays: DataFrame, columns: DataFrame, shape: tuple[int, int, int], tree_k: float = 0.6, lad: float = 1.0, mesh: float = 1.0) -> DataFrame:
+    """(i, j, k, di, dj, dk, ray, angle, through): of each face and each ray before it the cosine between both and what trees
+    let through from the voxel before the face, 0 where something solid stands in the way."""
+    key = ["i", "j", "k", "di", "dj", "dk"]
+    ni, nj, nk = shape
+    front = faces.select(*[F.col(c).alias(f"f_{c}") for c in key], *[(F.col(a) + F.col(b)).alias(a) for a, b in (("i", "di"), ("j", "dj"), ("k", "dk"))])
+    inner = front.where(F.col("i").between(0, ni - 1) & F.col("j").between(0, nj - 1) & F.col("k").between(0, nk - 1)).withColumn("slot", F.col("i") * nk + F.col("k"))
+    side = columns.select(F.col("i").alias("vi"), F.col("j").alias("vj"), "codes")
+    steps = pieces_from(inner.select("slot", "i", "j", "k").distinct(), rays, shape).join(side, ["vi", "vj"]).withColumn("code", F.coalesce(F.get("codes", F.col("vk")), F.lit(dims.AIR)))
+    got = steps.groupBy("slot", "j", "ray").agg(F.bool_or(~F.col("code").isin(dims.AIR, dims.TREE)).alias("stop"), F.coalesce(F.sum(F.when(F.col("code") == dims.TREE, F.col("length"))), F.lit(0.0)).alias("depth"))
+    through = F.exp(-tree_k * lad * mesh * F.col("depth"))
+    angle = F.col("f_di") * F.col("dx") + F.col("f_dj") * F.col("dy") + F.col("f_dk") * F.col("dz")
+    seen = inner.join(got, ["slot", "j"]).join(F.broadcast(rays), "ray").withColumn("angle", angle).where("angle > 1e-9")
+    return seen.select(*[F.col(f"f_{c}").alias(c) for c in key], "ray", "angle", F.when(F.col("stop") | (through < CUTOFF), 0.0).otherwise(through).alias("through"))
+
+
+def face_landmarks(faces: DataFrame, landmarks: DataFrame, columns: DataFrame) -> DataFrame:
+    """(i, j, k, di, dj, dk, visible): whether a face sees the centre of a landmark voxel that lies before it, from the voxel
+    in front of the face. Landmarks go out in slices of a checked size."""
+    key = ["i", "j", "k", "di", "dj", "dk"]
+    front = faces.select(*key, *[(F.col(a) + F.col(b)).alias(f"o{a}") for a, b in (("i", "di"), ("j", "dj"), ("k", "dk"))])
+    side = columns.select(F.col("i").alias("vi"), F.col("j").alias("vj"), "codes")
+    found = []
+    for part in parts(landmarks.select("i", "j", "k")):
+        to = F.broadcast(part.select(F.col("i").alias("ti"), F.col("j").alias("tj"), F.col("k").alias("tk")))
+        gap = {a: F.col(f"t{a}") - F.col(f"o{a}") for a in "ijk"}
+        pairs = front.join(to).where(gap["i"] * F.col("di") + gap["j"] * F.col("dj") + gap["k"] * F.col("dk") + 0.5 > 0)
+        long = F.greatest(*[F.abs(gap[a]) for a in "ijk"])
+        between = F.when(long > 1, F.sequence(F.lit(1), long - 1)).otherwise(F.array().cast("array<int>"))
+        steps = pairs.withColumn("long", long).withColumn("s", F.explode(between))
+        at = [F.floor(F.col(f"o{a}") + 0.5 + gap[a] * F.col("s") / F.col("long")).cast("int").alias(f"v{a}") for a in "ijk"]
+        target = ["ti", "tj", "tk"]
+        blocked = steps.select(*key, *target, *at).join(side, ["vi", "vj"]).where(F.coalesce(F.get("codes", F.col("vk")), F.lit(0)) != 0).select(*key, *target).distinct()
+        found.append(pairs.select(*key, *target).join(blocked, [*key, *target], "left_anti").select(*key))
+    seen = reduce(DataFrame.union, found).distinct().withColumn("visible", F.lit(1))
+    return faces.select(*key).join(seen, key, "left").withColumn("visible", F.coalesce("visible", F.lit(0)))
+
+
+def rotated(vector: tuple, axis: tuple, angle: Column) -> tuple[Column, Column, Column]:
+    """A vector turned about an axis by radians; an axis without length turns nothing."""
+    n = F.sqrt(axis[0] * axis[0] + axis[1] * axis[1] + axis[2] * axis[2])
+    u = [a / n for a in axis]
+    dot = vector[0] * u[0] + vector[1] * u[1] + vector[2] * u[2]
+    cross = (u[1] * vector[2] - u[2] * vector[1], u[2] * vector[0] - u[0] * vector[2], u[0] * vector[1] - u[1] * vector[0])
+    return tuple(F.when(n < 1e-12, v).otherwise(v * F.cos(angle) + c * F.sin(angle) + a * dot * (1 - F.cos(angle))) for v, c, a in zip(vector, cross, u))
+
+
+def face_basis(nx: Column, ny: Column, nz: Column) -> tuple[tuple, tuple, tuple]:
+    """Two directions in a face's plane and its unit normal."""
+    size = F.sqrt(nx * nx + ny * ny + nz * nz)
+    n = [c / size for c in (nx, ny, nz)]
+    flat = F.abs(n[2]) >= 0.999
+    # the upright axis crossed with the normal; for level faces the first axis
+    raw = (F.when(flat, F.lit(0.0)).otherwise(-n[1]), F.when(flat, -n[2]).otherwise(n[0]), F.when(flat, n[1]).otherwise(F.lit(0.0)))
+    long = F.sqrt(raw[0] * raw[0] + raw[1] * raw[1] + raw[2] * raw[2])
+    u = tuple(c / long for c in raw)
+    v = (n[1] * u[2] - n[2] * u[1], n[2] * u[0] - n[0] * u[2], n[0] * u[1] - n[1] * u[0])
+    return u, v, tuple(n)
+
+
+def box_hit(origin: tuple, direction: tuple, low: tuple, high: tuple, nearest: float = 0.0, farthest: float = 1e30) -> Column:
+    """struct(hit, enter, leave) of rays and boxes by slabs."""
+    enter, leave, hit = F.lit(nearest), F.lit(farthest), F.lit(True)
+    for o, d, a, b in zip(origin, direction, low, high):
+        level = F.abs(d) < 1e-10
+        s, t = (a - o) / F.when(~level, d), (b - o) / F.when(~level, d)
+        enter, leave = F.when(level, enter).otherwise(F.greatest(enter, F.least(s, t))), F.when(level, leave).otherwise(F.least(leave, F.greatest(s, t)))
+        hit = hit & ~(level & ((o < a) | (o > b)))
+    return F.struct((hit & (enter <= leave)).alias("hit"), enter.alias("enter"), leave.alias("leave"))
+
+
+def first_hit(observers: DataFrame, rays: DataFrame, columns: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """(i, j, ray, vi, vj, vk, code): the first voxel on each ray that is neither air nor tree, null where there is none."""
+    side = columns.select(F.col("i").alias("vi"), F.col("j").alias("vj"), "codes")
+    steps = pieces(observers, rays, shape).join(side, ["vi", "vj"]).withColumn("code", F.coalesce(F.get("codes", F.col("vk")), F.lit(dims.AIR)))
+    met = steps.groupBy("i", "j", "ray").agg(F.min(F.when(~F.col("code").isin(dims.AIR, dims.TREE), F.struct("n", "vi", "vj", "vk", "code"))).alias("h"))
+    return met.select("i", "j", "ray", "h.vi", "h.vj", "h.vk", "h.code")
+
+
+def between(pairs: DataFrame, columns: DataFrame, tree_k: float = 0.6, lad: float = 1.0, mesh: float = 1.0) -> DataFrame:
+    """(pair, through): what is let through between two voxel centres (pair, i, j, k, ti, tj, tk), by one sample in each layer
+    of the longest axis; solid voxels between them let nothing through."""
+    gap = {a: F.col(f"t{a}") - F.col(a) for a in "ijk"}
+    long = F.greatest(*[F.abs(gap[a]) for a in "ijk"])
+    size = F.sqrt(sum((gap[a] * gap[a] for a in "ijk"), F.lit(0.0)))
+    inner = F.when(long > 1, F.sequence(F.lit(1), long - 1)).otherwise(F.array().cast("array<int>"))
+    steps = pairs.select("pair", *"ijk", "ti", "tj", "tk", (size / long).alias("step"), long.alias("long"), F.explode(inner).alias("s"))
+    at = [F.floor(F.col(a) + 0.5 + gap[a] * F.col("s") / F.col("long")).cast("int").alias(f"v{a}") for a in "ijk"]
+    side = columns.select(F.col("i").alias("vi"), F.col("j").alias("vj"), "codes")
+    met = steps.select("pair", "step", *at).join(side, ["vi", "vj"]).withColumn("code", F.coalesce(F.get("codes", F.col("vk")), F.lit(dims.AIR)))
+    got = met.groupBy("pair").agg(F.bool_or(~F.col("code").isin(dims.AIR, dims.TREE)).alias("stop"), F.sum(F.when(F.col("code") == dims.TREE, F.col("step")).otherwise(0.0)).alias("depth"))
+    through = F.when(F.coalesce("stop", F.lit(False)), 0.0).otherwise(F.exp(-tree_k * lad * mesh * F.coalesce("depth", F.lit(0.0))))
+    return pairs.select("pair").join(got, "pair", "left").select("pair", through.alias("through"))

@@ -21,7 +21,9 @@ def query(sql: str | None = None, city: bool = True):
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = f"WITH {SQL.strip()},\n{sql.strip()}" if city else sql.strip()
+            own = sql.strip()
+            # without the city, a text that begins with a named part still needs its WITH
+            ORACLES[f.__name__] = f"WITH {SQL.strip()},\n{own}" if city else own if own.startswith("SELECT") else f"WITH {own}"
         return f
 
     return register

@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from citylattice.plans import catalogue
+from citylattice.plans import catalogue, further  # noqa: F401  (the second adds to the first)
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -5,9 +5,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from citylattice.functions import dims, exprs
-from citylattice.operators import raster, rays, solar, vectors, voxels
-from citylattice.sources import readers, sinks
+from citylattice.functions import dims, exprs, geometry
+from citylattice.operators import importer, raster, rays, solar, vectors, voxels
+from citylattice.sources import geodata, readers, sinks
 from citylattice.streaming.weather import hourly
 
 CELL = "i int, j int, bh double, bid long, segs array<struct<lo:double,hi:double>>, code int, z double, top double, bottom double"
@@ -117,3 +117,133 @@ def test_obj_of_long_faces_and_names(spark, tmp_path):
     (tmp_path / "long.obj").write_text("o " + " ".join(name) + "\nf " + " ".join(f"{i}/{i}" for i in face) + "\n")
     o, f = readers.read_obj(spark, str(tmp_path / "long.obj")).orderBy("line").collect()
     assert o.name == f.grp == " ".join(name) and f.numbers == [float(i) for i in face]
+
+
+def plain_geodesic(lon1, lat1, lon2, lat2):
+    """Vincenty's inverse formula in plain numbers."""
+    f, a = 1 / 298.257223563, 6378137.0
+    b = a * (1 - f)
+    u1, u2, gap = math.atan((1 - f) * math.tan(math.radians(lat1))), math.atan((1 - f) * math.tan(math.radians(lat2))), math.radians(lon2 - lon1)
+    lam = gap
+    for _ in range(100):
+        ss = math.hypot(math.cos(u2) * math.sin(lam), math.cos(u1) * math.sin(u2) - math.sin(u1) * math.cos(u2) * math.cos(lam))
+        if ss == 0:
+            return 0.0
+        cs = math.sin(u1) * math.sin(u2) + math.cos(u1) * math.cos(u2) * math.cos(lam)
+        s, sa = math.atan2(ss, cs), math.cos(u1) * math.cos(u2) * math.sin(lam) / ss
+        c2 = 1 - sa * sa
+        m = cs - 2 * math.sin(u1) * math.sin(u2) / c2 if c2 else 0.0
+        c = f / 16 * c2 * (4 + f * (4 - 3 * c2))
+        lam = gap + (1 - c) * f * sa * (s + c * ss * (m + c * cs * (2 * m * m - 1)))
+    k = c2 * (a * a - b * b) / (b * b)
+    big, small = 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k))), k / 1024 * (256 + k * (-128 + k * (74 - 47 * k)))
+    return b * big * (s - small * ss * (m + small / 4 * (cs * (2 * m * m - 1) - small / 6 * m * (4 * ss * ss - 3) * (4 * m * m - 3))))
+
+
+def test_distances_on_the_ellipsoid(spark):
+    rows = [(0.0, 0.0, 1.0, 0.0), (0.0, 0.0, 0.0, 1.0), (139.7, 35.6, -74.0, 40.7), (5.0, 5.0, 5.0, 5.0), (-60.0, -50.0, 120.0, 30.0)]
+    got = spark.createDataFrame(rows, "a double, b double, c double, d double").select(geometry.geodesic(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("m")).collect()
+    assert [r.m for r in got] == pytest.approx([plain_geodesic(*r) for r in rows], abs=1e-3)
+    assert got[0].m == pytest.approx(111319.4908, abs=1e-3) and got[1].m == pytest.approx(110574.3886, abs=1e-3)
+
+
+RING = "array<struct<x:double,y:double>>"
+
+
+def test_rectangles_in_order(spark):
+    sw, nw, ne, se = (0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0)
+    rows = [(1, [sw, nw, ne, se]), (2, [ne, se, sw, nw]), (3, [sw, se, ne, nw]), (4, [sw, nw, ne, se, sw]), (5, [sw, nw, ne]), (6, [(500.0, 0.0), nw, ne, se])]
+    got = {r.id: r.ring and [tuple(p) for p in r.ring] for r in geometry.canonical_rectangles(spark.createDataFrame(rows, f"id int, ring {RING}")).collect()}
+    assert got == {1: [sw, nw, ne, se], 2: [sw, nw, ne, se], 3: [sw, nw, ne, se], 4: [sw, nw, ne, se], 5: None, 6: None}
+
+
+def test_rings_from_ways(spark):
+    ways = spark.createDataFrame([(1, [(0.0, 0.0), (1.0, 0.0)]), (2, [(1.0, 1.0), (1.0, 0.0)]), (3, [(1.0, 1.0), (0.0, 0.0)]), (4, [(5.0, 5.0), (6.0, 5.0), (6.0, 6.0)]), (5, [(9.0, 9.0), (8.0, 8.0)])], f"way long, ring {RING}")
+    members = spark.createDataFrame([(7, "outer", w) for w in (1, 2, 3, 4, 5)], "relation long, role string, way long")
+    got = sorted([tuple(p) for p in r.ring] for r in geodata.rings_of_relations(members, ways).collect())
+    assert got == [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)], [(5.0, 5.0), (6.0, 5.0), (6.0, 6.0), (5.0, 5.0)]]
+
+
+def test_segments_there_and_back(spark):
+    rows = [(i, j, [(float(n), n + 1.0) for n in range((i * j) % 3)]) for i in range(4) for j in range(5)]
+    cells = spark.createDataFrame(rows, "i int, j int, segs array<struct<lo:double,hi:double>>")
+    offsets = geodata.to_offsets(cells, ["i", "j"])
+    flat, at = [], 0
+    for _, _, segs in rows:
+        for lo, hi in segs:
+            flat.append((at, lo, hi))
+            at += 1
+    back = geodata.from_offsets(offsets, spark.createDataFrame(flat, "at long, lo double, hi double"), ["i", "j"]).collect()
+    assert sorted((r.i, r.j, [tuple(s) for s in r.segs]) for r in back) == rows
+
+
+def test_outside_air_leaves_pockets(spark):
+    side = range(5)
+    solid = {(i, j, k) for i in range(1, 4) for j in range(1, 4) for k in range(1, 4)} - {(2, 2, 2)}
+    air = spark.createDataFrame([(i, j, k) for i in side for j in side for k in side if (i, j, k) not in solid], "i int, j int, k int")
+    built = spark.createDataFrame(sorted(solid), "i int, j int, k int")
+    outside = importer.outside_air(air, (5, 5, 5))
+    assert outside.count() == 125 - 27 and outside.where("i = 2 and j = 2 and k = 2").count() == 0
+    assert importer.hull(built, outside, (0, 1)).count() == 24 and importer.hull(built, outside, (2,)).count() == 18
+
+
+def test_panes_and_meshes(spark):
+    pane = [("flat", 3, j, k) for j in range(4) for k in range(3)] + [("line", 0, 0, k) for k in range(5)] + [("two", 0, 0, 0), ("two", 1, 1, 1)]
+    assert {r.name: r.axis for r in importer.normal_axis(spark.createDataFrame(pane, "name string, i int, j int, k int")).collect()} == {"flat": 0, "line": None, "two": None}
+    point = "struct<x:double,y:double,z:double>"
+    corners = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    faces = [("m", (*corners[0], z), (*corners[a], z), (*corners[a + 1], z)) for z in (1.0, 3.0) for a in (1, 2)]
+    hits = importer.triangle_hits(spark.createDataFrame(faces, f"name string, a {point}, b {point}, c {point}"), (6, 6))
+    assert sorted((r.i, r.j, r.k) for r in importer.filled(hits).collect()) == [(i, j, k) for i in range(4) for j in range(4) for k in (1, 2)]
+
+
+def test_light_on_faces(spark):
+    rows = [(0, 0, 1, 0.5, 0.8, False), (0, 0, -1, 0.5, 0.8, False), (1, 0, 0, None, 0.8, False), (1, 0, 0, 0.5, 0.8, True), (1, 0, 0, 0.5, None, False)]
+    lit = solar.face_light(spark.createDataFrame(rows, "di int, dj int, dk int, svf double, through double, border boolean"), (0.6, 0.0, 0.8), 100.0, 10.0).collect()
+    assert [(r.direct, r.diffuse) for r in lit] == [(pytest.approx(64.0), 5.0), (0.0, 5.0), (None, None), (None, None), (0.0, 5.0)]
+
+
+def test_face_before_open_sky(spark):
+    codes = [(i, j, [1, -3 if (i, j) == (2, 2) else 0, 0, 0, 0]) for i in range(5) for j in range(5)]
+    columns = spark.createDataFrame(codes, "i int, j int, codes array<int>")
+    faces = spark.createDataFrame([(2, 2, 1, 0, 0, 1), (2, 2, 1, 1, 0, 0)], "i int, j int, k int, di int, dj int, dk int")
+    up = spark.createDataFrame([(0, 0.0, 0.0, 1.0), (1, 0.8, 0.0, 0.6)], "ray int, dx double, dy double, dz double")
+    got = sorted((r.di, r.ray, round(r.angle, 6), r.through) for r in rays.face_transmissions(faces, up, columns, (5, 5, 5)).collect())
+    assert got == [(0, 0, 1.0, 1.0), (0, 1, 0.6, 1.0), (1, 1, 0.8, 1.0)]
+
+
+def covered_once(cells):
+    """Greedy rectangles in plain Python."""
+    left, out = set(cells), []
+    for a, b in sorted(cells):
+        if (a, b) in left:
+            width = next(w for w in range(1, 100) if (a, b + w) not in left)
+            height = next(h for h in range(1, 100) if any((a + h, b + x) not in left for x in range(width)))
+            left -= {(a + y, b + x) for y in range(height) for x in range(width)}
+            out.append((a, b, a + height, b + width))
+    return sorted(out)
+
+
+def test_greedy_rectangles(spark):
+    planes = {"p": [(i, j) for i in range(8) for j in range(9) if (i * j) % 5 != 3], "q": [(0, 0), (0, 1), (1, 0), (2, 2)]}
+    faces = spark.createDataFrame([(p, *c) for p, cells in planes.items() for c in cells], "plane string, a int, b int")
+    got = voxels.rectangles(faces).collect()
+    for p, cells in planes.items():
+        assert sorted((r.a0, r.b0, r.a1, r.b1) for r in got if r.plane == p) == covered_once(cells)
+
+
+def test_weather_location(spark, tmp_path):
+    (tmp_path / "x.epw").write_text("LOCATION,Here, ,JPN,IWEC,476620,35.6,139.7,9.0,40.0\nother\n")
+    assert tuple(geodata.read_epw_location(spark, str(tmp_path / "x.epw")).first()) == ("Here", "", "JPN", "476620", 35.6, 139.7, 9.0, 40.0)
+
+
+def test_bases_and_unshared_corners(spark):
+    row = spark.createDataFrame([(0.0, 3.0, 4.0), (0.0, 0.0, 2.0)], "a double, b double, c double")
+    for r in row.select(*[F.array(*v) for v in rays.face_basis(F.col("a"), F.col("b"), F.col("c"))]).collect():
+        for x in range(3):
+            for y in range(3):
+                assert sum(p * q for p, q in zip(r[x], r[y])) == pytest.approx(float(x == y))
+    quads = spark.createDataFrame([(f, 1, [(float(x), float(f), 0.0) for x in range(4)]) for f in range(2)], "face long, material int, vertices array<struct<x:double,y:double,z:double>>")
+    assert sinks.unshared(quads).select("vertex").distinct().count() == 8
+    lines = [r.line for r in sinks.mesh_lines(quads).orderBy("ord").collect()]
+    assert lines[0] == "v 0.000 0.000 0.000" and lines[-1] == "usemtl m1\nf 5 6 7 8" and len(lines) == 10
