@@ -668,7 +668,7 @@ def surface_landmarks(spark, d):
 def building_irradiance(spark, d):
     """Direct and diffuse light on building faces, by building; tested on a small scene against plain numbers."""
     c = small_city(spark, d)
-    v = voxels.voxelise(c)
+    v = cut(voxels.voxelise(c))
     columns, faces = voxels.packed(v), voxels.faces(v)
     shape = (N, N, v.agg(F.max("k") + 1).first()[0])
     r = _rays(spark, 5.0, 35.0)
