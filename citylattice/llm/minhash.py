@@ -23,6 +23,8 @@ null id. Rows that repeat an id are documents of their own.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -41,6 +43,8 @@ SHARP, SHARP_SLACK = 2048, 0.045
 #: Heads of a bucket in a later round, and rounds, before what is left is compared in blocks.
 HEADS, ROUNDS = 2, 1
 BLOCK = 512
+#: Pairs of a block that are compared at once; comparisons of a task, and the cost of a block beside its comparisons.
+AT_ONCE, TASK_WORK, GROUP_COST = 1 << 14, 1 << 24, 20_000
 #: Classes of a bucket beyond which it is dealt anew, by so many bands of so many of the sketch's minima.
 LARGE, MORE, MORE_ROWS = 2048, 64, 8
 #: Bits of the filter that says which documents give their sets; its size is fixed.
@@ -261,18 +265,29 @@ def _in_blocks(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         sketch = _words_of(table.column("sketch").combine_chunks())
         bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(cid), -1)
         a, b, out = np.flatnonzero(flags), np.flatnonzero(~flags), [np.zeros((0, 4), np.int64)]
-        for i in a if len(b) else ():
-            near = b[root[b] != root[i]]
-            near = near[_agreeing(sketch[i, :words], sketch[near, :words]) >= coarse]
-            near = near[_agreeing(sketch[i], sketch[near]) >= fine]
-            near = near[bands[i][(bands[i] == bands[near]).argmax(axis=1)] == here]
-            same, up = np.full(len(near), i), cid[near] > cid[i]
-            p, q = np.where(up, same, near), np.where(up, near, same)
+        checks = (
+            lambda p, q: root[p] != root[q],
+            lambda p, q: _agreeing(sketch[p, :words], sketch[q, :words]) >= coarse,
+            lambda p, q: _agreeing(sketch[p], sketch[q]) >= fine,
+            lambda p, q: bands[p, (bands[p] == bands[q]).argmax(axis=1)] == here,
+        )
+        step = max(1, AT_ONCE // max(1, len(b)))
+        for at in range(0, len(a), step):
+            some = a[at : at + step]
+            p, q = np.repeat(some, len(b)), np.tile(b, len(some))
+            for agree in checks:
+                keep = agree(p, q)
+                p, q = p[keep], q[keep]
+            up = cid[q] > cid[p]
+            p, q = np.where(up, p, q), np.where(up, q, p)
             out.append(np.stack([cid[p], cid[q], root[p], root[q]], axis=1))
         found = np.unique(np.concatenate(out), axis=0)
         return pa.table({n: found[:, i] for i, n in enumerate(("u", "v", "ru", "rv"))})
 
-    return left.unionByName(right).groupBy("key", "block", "chunk").applyInArrow(run, PAIRS).distinct()
+    # adaptive coalescing sees bytes and not comparisons, so the number of tasks follows the work
+    work = main.agg(F.sum(F.col("few") * F.col("all") + GROUP_COST * blocks * chunks)).first()[0] or 0
+    unit = ("key", "block", "chunk")
+    return left.unionByName(right).repartition(max(1, math.ceil(work / TASK_WORK)), *unit).groupBy(*unit).applyInArrow(run, PAIRS).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -301,6 +316,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
                 break
         pairs = _in_blocks(open_, sets, percent) if step > ROUNDS else _with_heads(open_, sets, least, step)
         links = cut(_verified(pairs, sets, percent))
+        if roots is not None and links.isEmpty():
+            continue
         joined = components(links.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
         if roots is None:
             roots = cut(joined.select(F.col("node").alias("cid"), "root"))
