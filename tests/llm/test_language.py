@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from citylattice.llm.language import grams_by_text, identify, keep_known, learn, report
+from citylattice.llm.language import TOP, grams_by_text, identify, keep_known, learn, report
 
 
 def plain(text):
@@ -36,6 +36,40 @@ def test_counts():
         assert got == dict(want)
 
 
+def code(gram):
+    """An n-gram's rank among ties: its signs as one number, the separator as 1."""
+    out = 0
+    for c in gram:
+        out = out << 21 | (1 if c == "_" else ord(c))
+    return out
+
+
+def ranked(counts):
+    return sorted(counts, key=lambda g: (-counts[g], code(g)))[:TOP]
+
+
+def test_predictions(spark):
+    """Every prediction against profiles and out-of-place distances by plain Python; ties are in the rows of one sign."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    extra = [(10**9 + i, t, "en" if i % 2 else "fr") for i, t in enumerate(["zq", "b a", "a", "Q!", "1", "", None, "qz zq"])]
+    docs = table.unionByName(spark.createDataFrame(extra, "doc_id long, text string, lang string"))
+    rows = [tuple(r) for r in docs.collect()]
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows}
+    totals = {}
+    for i, text, lang in rows:
+        if not held[i] and text is not None and lang is not None:
+            totals.setdefault(lang, Counter()).update(plain(text))
+    profiles = {k: {g: at for at, g in enumerate(ranked(c))} for k, c in sorted(totals.items())}
+    got = {r.doc_id: r for r in report(docs).collect()}
+    assert len(got) == len(rows)
+    for i, text, _ in rows:
+        mine = ranked(plain(text or ""))
+        away = {k: sum(abs(p[g] - at) if g in p else TOP for at, g in enumerate(mine)) for k, p in profiles.items()}
+        best = min(away, key=away.get) if mine else "und"
+        assert (got[i].held_out, got[i].lang_pred) == (held[i], best)
+        assert got[i].score == (1 - away[best] / (TOP * len(mine)) if mine else 0)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r for r in report(docs).collect()}
