@@ -12,7 +12,8 @@ words and one end.
 Beside it stands the add-one word model. Both need corpus counts for every word of every text. Texts are read once, in
 blocks of about ``BLOCK`` bytes: a block lists its distinct words with training counts, and its documents as numbers of
 these words. Words are counted over all blocks, each distinct word's lattice is run once, and every block gets back the
-counts and probabilities of its own words only. No vocabulary is sent to all tasks, and no task holds more than a block.
+counts and probabilities of its own words only. The answers for the ``COMMON`` most spread words, short ones, a fixed size,
+go to every executor; others are joined. No vocabulary is sent to all tasks, and no task holds more than a block.
 
 Null texts are empty: one token, the end. A null id is in training. Without training texts the base is 0 for all and the
 weights are those of the file. Repeated rows count as often as they occur and get a row each.
@@ -35,6 +36,8 @@ from citylattice.llm.arrow import session
 from citylattice.session import cut
 
 BLOCK = 8 << 20
+#: Words whose answers go to every executor, and their length at most.
+COMMON, COMMON_BYTES = 4096, 64
 ROUNDS, PRIOR, SHIFT = 1, 20_000.0, 10.0
 #: Words of one lattice batch, in bytes.
 LATTICE = 1 << 18
@@ -272,7 +275,7 @@ def score(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: str = "d
     blocks = cut(given.mapInArrow(_blocks, BLOCKED))
     n_train = blocks.agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
     listed = blocks.select(F.explode(F.arrays_zip("words", "train")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.train").alias("c"))
-    counts = cut(listed.groupBy("word").agg(F.sum("c").alias("c")))
+    counts = cut(listed.groupBy("word").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("homes")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     n, v = n + n_train, v + (n_train > 0)
     pieces, weights = read_pieces(vocabulary)
@@ -285,9 +288,15 @@ def score(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: str = "d
                 whole = np.log(batch.column(1).to_numpy() / max(n + v, 1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.logaddexp(pieced, whole) / math.log(10))], names=["word", "c", "p"])
 
-    scored = counts.mapInArrow(run, "word binary, c long, p double")
+    # words of most blocks would be hot keys; COMMON of them at most, of COMMON_BYTES at most, go to every executor instead
+    spread = counts.where((F.col("homes") > 1) & (F.octet_length("word") <= COMMON_BYTES)).orderBy(F.desc("homes"), "word").limit(COMMON)
+    answered = "word binary, c long, p double"
+    common = cut(spread.select("word", "c").mapInArrow(run, answered))
+    others = counts.join(F.broadcast(common.select("word")), "word", "left_anti").select("word", "c").mapInArrow(run, answered)
     wanted = blocks.select(F.col("block").alias("home"), F.posexplode("words").alias("i", "word"))
-    answers = wanted.join(scored, "word").select("home", "i", "c", "p")
+    here = wanted.join(F.broadcast(common), "word")
+    there = wanted.join(F.broadcast(common.select("word")), "word", "left_anti").join(others, "word")
+    answers = here.unionByName(there).select("home", "i", "c", "p")
     end = math.log10((n_train + v * math.exp(lattice.logp[-1])) / (n + v)) if v else float(lattice.logp[-1] / math.log(10))
     return answers.groupBy("home").cogroup(blocks.drop("words", "train").groupBy("block")).applyInArrow(_finish(n, v, n_train, end), SCORED)
 

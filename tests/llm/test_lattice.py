@@ -53,6 +53,53 @@ def test_sum_over_all_segmentations():
         assert sum(n * len(p) for n, p in zip(uses, pieces)) == pytest.approx(len(data))
 
 
+def segmentations(whole, pieces):
+    """Lists of numbers of the pieces that make up ``whole``."""
+    if not whole:
+        yield []
+    for x, piece in enumerate(pieces):
+        if whole.startswith(piece):
+            for rest in segmentations(whole[len(piece) :], pieces):
+                yield [x, *rest]
+
+
+@pytest.mark.parametrize("common", [0, 2, 4096])
+def test_scores(spark, monkeypatch, common):
+    """The learnt model and its scores, from all segmentations of each word; blocks and common words of several sizes."""
+    monkeypatch.setattr(L, "BLOCK", 12)
+    monkeypatch.setattr(L, "COMMON", common)
+    pieces = (b"a", b"ab", b"b", b"ba", b"c", SIGN, SIGN + b"a", SIGN + b"ab", *[bytes([b]) for b in range(256)])
+    weights = tuple(1.0 + 0.01 * i for i in range(len(pieces)))
+    monkeypatch.setattr(L, "read_pieces", lambda path: (pieces, weights))
+    docs = [(1, "ab ab ba"), (2, "abc b ab"), (3, "ba"), (4, None), (5, ""), (6, "cab ab AB\tab"), (7, "ab abba"), (8, "new ab"), (9, "ab ab ab c")]
+    held = {i: i % 4 == 0 for i, _ in docs}
+    counts = Counter(w for i, t in docs if not held[i] for w in tokens(t))
+    n_train = sum(not h for h in held.values())
+    n, v = sum(counts.values()) + n_train, len(counts) + 1
+
+    def weighted(word, p):
+        return [(math.prod(p[x] for x in s), s) for s in segmentations(SIGN + word.encode(), pieces)]
+
+    start = [*weights, max(weights)]
+    prior = [w / sum(start) for w in start]
+    uses = [L.PRIOR * p for p in prior]
+    uses[-1] += n_train
+    for w, c in counts.items():
+        found = weighted(w, prior)
+        whole = sum(p for p, _ in found)
+        for p, s in found:
+            for x in s:
+                uses[x] += c * p / whole
+    logp = [u / sum(uses) for u in uses]
+    end = math.log10((n_train + v * logp[-1]) / (n + v))
+    want = {i: end + sum(math.log10(counts[w] / (n + v) + v / (n + v) * sum(p for p, _ in weighted(w, logp))) for w in tokens(t)) for i, t in docs}
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in L.score(table, "any", held=table.doc_id % 4 == 0).collect()}
+    assert len(got) == len(docs) and all(got[i].held_out == held[i] for i in got)
+    for i in want:
+        assert got[i].score == pytest.approx(want[i], rel=1e-9)
+
+
 def test_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = base([(r.doc_id, r.text) for r in docs.collect()])
