@@ -15,6 +15,7 @@ from citylattice.functions.exprs import haversine_km, inside_ring
 from citylattice.session import parts
 
 BUCKET = 4
+RECTANGLE = ["i0", "j0", "i1", "j1"]
 
 
 def _bucketed(rows: DataFrame, prefix: str) -> DataFrame:
@@ -24,7 +25,8 @@ def _bucketed(rows: DataFrame, prefix: str) -> DataFrame:
 
 
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of rectangles that share cells, columns prefixed a_ and b_, with the shared area."""
+    """Pairs of rectangles that share cells, columns prefixed a_ and b_, with the shared area. Equal rectangles pair all with
+    all: callers reduce them to one row first."""
     both = _bucketed(a.where("i0 < i1 and j0 < j1"), "a_").join(_bucketed(b.where("i0 < i1 and j0 < j1"), "b_"), ["bi", "bj"])
     low = {x: F.greatest(f"a_{x}0", f"b_{x}0") for x in "ij"}
     high = {x: F.least(f"a_{x}1", f"b_{x}1") for x in "ij"}
@@ -61,10 +63,18 @@ def merge_ids(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def overlap_parents(footprints: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(id, parent): the largest footprint that covers more than ``threshold`` of a smaller one, by area and then id."""
-    sized = footprints.select("id", "i0", "j0", "i1", "j1", ((F.col("i1") - F.col("i0")) * (F.col("j1") - F.col("j0"))).alias("size"))
-    pairs = overlaps(sized, sized).where("(b_size > a_size or b_size = a_size and b_id < a_id)").where(F.col("area") > threshold * F.col("a_size"))
-    return pairs.groupBy(F.col("a_id").alias("id")).agg(F.max_by("b_id", F.struct("b_size", -F.col("b_id"))).alias("parent"))
+    """(id, parent): the largest footprint that covers more than ``threshold`` of a smaller one, by area and then id. Only
+    different rectangles are paired, each with its least id; that id also stands before all others of an equal area."""
+    size = (F.col("i1") - F.col("i0")) * (F.col("j1") - F.col("j0"))
+    kinds = footprints.groupBy(*RECTANGLE).agg(F.min("id").alias("id")).withColumn("size", size)
+    pairs = overlaps(kinds, kinds).where("b_size >= a_size").where(F.col("area") > threshold * F.col("a_size"))
+    larger = F.max(F.when(F.col("b_size") > F.col("a_size"), F.struct(F.col("b_size").alias("size"), (-F.col("b_id")).alias("o"), F.col("b_id").alias("id"))))
+    equal = F.min(F.when(F.col("b_size") == F.col("a_size"), F.struct(F.col("b_size").alias("size"), F.col("b_id").alias("id"))))
+    best = pairs.groupBy(*[F.col(f"a_{c}").alias(c) for c in RECTANGLE]).agg(larger.alias("larger"), equal.alias("equal"))
+    parent = F.coalesce("larger.id", F.when(F.col("equal.id") < F.col("id"), F.col("equal.id")))
+    found = footprints.select("id", *RECTANGLE).join(best, RECTANGLE).select("id", F.coalesce("larger.size", "equal.size").alias("size"), parent.alias("parent")).where("parent is not null")
+    # dealt before the aggregate, which sorts
+    return found.repartition("id").groupBy("id").agg(F.max_by("parent", F.struct("size", -F.col("parent"))).alias("parent"))
 
 
 def zone_cells(cells: DataFrame, zones: DataFrame) -> DataFrame:
