@@ -26,21 +26,24 @@ def _crossing(a: Column, b: Column) -> Column:
 
 
 def drawn(buildings: DataFrame, shapes: DataFrame, operation: str = "within", ring: str = "ring") -> DataFrame:
-    """Distinct ids of buildings that lie within any of the shapes (ring), or meet one (``intersect``). Shapes go out in
-    slices of a checked size; bounds are compared before edges."""
+    """Distinct ids of buildings that lie within any of the shapes (ring), or meet one (``intersect``). Different rings are
+    compared once, with shapes that go out in slices of a checked size; bounds are made once and compared before edges."""
     if operation not in ("within", "intersect"):
         raise ValueError(f"unknown operation {operation}")
+    rings = buildings.select(F.col(ring).alias("__ring")).distinct().withColumn("__own", G.bounds(F.col("__ring")))
+    own, shape = F.col("__ring"), F.col("__shape")
+    inner = lambda a, b: F.transform(a, lambda p: inside_ring(p["x"], p["y"], b))
+    if operation == "within":
+        fits = F.forall(inner(own, shape), lambda v: v) & ~_crossing(own, shape)
+    else:
+        fits = F.exists(inner(own, shape), lambda v: v) | F.exists(inner(shape, own), lambda v: v) | _crossing(own, shape)
     found = []
-    for part in parts(shapes.select(F.col(ring).alias("__shape"))):
-        pairs = buildings.join(F.broadcast(part), G.boxes_meet(G.bounds(F.col(ring)), G.bounds(F.col("__shape"))))
-        own, shape = F.col(ring), F.col("__shape")
-        inner = lambda a, b: F.transform(a, lambda p: inside_ring(p["x"], p["y"], b))
-        if operation == "within":
-            fits = F.forall(inner(own, shape), lambda v: v) & ~_crossing(own, shape)
-        else:
-            fits = F.exists(inner(own, shape), lambda v: v) | F.exists(inner(shape, own), lambda v: v) | _crossing(own, shape)
-        found.append(pairs.where(fits).select("id"))
-    return reduce(DataFrame.union, found).distinct()
+    for part in parts(shapes.select(F.col(ring).alias("__shape")).distinct()):
+        # a case, as the optimizer puts a filter on a join before the join's own condition
+        meet = F.when(G.boxes_meet(F.col("__own"), F.col("__bounds")), fits).otherwise(False)
+        found.append(rings.join(F.broadcast(part.withColumn("__bounds", G.bounds(shape))), meet).select("__ring"))
+    chosen = reduce(DataFrame.union, found).distinct()
+    return buildings.join(chosen, buildings[ring] == chosen["__ring"], "left_semi").select("id").distinct()
 
 
 # --- masks of cells ---------------------------------------------------------------------------------------------------

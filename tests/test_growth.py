@@ -5,7 +5,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from citylattice.operators import vectors
+from citylattice.functions import geometry
+from citylattice.operators import selection, vectors
 
 COPIES = 60_000
 
@@ -33,3 +34,13 @@ def test_overlap_parents_of_many_equal_footprints(spark):
     equal = vectors.overlap_parents(stacked(spark).where(F.col("id") < COPIES))
     with limited(spark):
         assert equal.agg(F.count(F.lit(1)), F.min("id"), F.max("parent")).first()[:] == (COPIES - 2, 2, 1)
+
+
+def test_shapes_over_many_equal_rings(spark):
+    box = lambda w, s, e, n: geometry.box_ring(F.struct(*[c.cast("double").alias(k) for c, k in zip((w, s, e, n), "wsen")]))
+    homes = stacked(spark).select("id", box(F.col("i0"), F.col("j0"), F.col("i1"), F.col("j1")).alias("ring"))
+    k = F.col("id")
+    shapes = spark.range(100).select(box(k * 10 + 1, F.lit(1), k * 10 + 3.5, F.lit(4)).alias("ring"))
+    with limited(spark):
+        assert selection.drawn(homes, shapes, "within").agg(F.count(F.lit(1)), F.max("id")).first()[:] == (COPIES - 1, COPIES - 1)
+        assert selection.drawn(homes, shapes, "intersect").count() == COPIES
