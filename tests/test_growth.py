@@ -44,3 +44,12 @@ def test_shapes_over_many_equal_rings(spark):
     with limited(spark):
         assert selection.drawn(homes, shapes, "within").agg(F.count(F.lit(1)), F.max("id")).first()[:] == (COPIES - 1, COPIES - 1)
         assert selection.drawn(homes, shapes, "intersect").count() == COPIES
+
+
+def test_distances_on_the_ellipsoid_of_many_points(spark):
+    k = F.col("id")
+    rows = spark.range(400_000).select((k % 360 - 180.0).alias("x"), (k % 120 - 60.0).alias("y"))
+    with limited(spark):
+        got = rows.select(geometry.geodesic(F.col("x"), F.col("y"), F.col("x"), F.col("y") + 0.01).alias("m")).agg(F.count("m"), F.min("m"), F.max("m")).first()
+    assert got[0] == 400_000 and 1105 < got[1] < got[2] < 1117
+    assert spark.range(1).select(geometry.geodesic(F.lit(1.0), F.lit(None), F.lit(1.0), F.lit(2.0)).alias("m")).first().m is None
