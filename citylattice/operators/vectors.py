@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from citylattice.functions.exprs import haversine_km, inside_ring
 from citylattice.session import parts
+from citylattice.sources.geodata import numbered
 
 BUCKET = 4
 RECTANGLE = ["i0", "j0", "i1", "j1"]
@@ -36,28 +37,33 @@ def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def transfer_heights(primary: DataFrame, reference: DataFrame) -> DataFrame:
     """primary with height: rows without a positive height get the area-weighted mean of references they overlap; zero
-    heights dilute it, nothing or a sum of 0 gives null."""
+    heights dilute it, nothing or a sum of 0 gives null. Equal rectangles are summed before they are paired."""
     need = primary.where("height is null or height <= 0")
-    got = overlaps(need, reference).groupBy(F.col("a_id").alias("__id")).agg((F.sum(F.coalesce("b_height", F.lit(0.0)) * F.col("area")) / F.sum("area")).alias("__h"))
+    sums = reference.groupBy(*RECTANGLE).agg(F.sum(F.coalesce("height", F.lit(0.0))).alias("total"), F.count(F.lit(1)).alias("n"))
+    pairs = overlaps(need.select(*RECTANGLE).distinct(), sums)
+    places = pairs.groupBy(*[F.col(f"a_{c}").alias(c) for c in RECTANGLE]).agg(F.sum(F.col("b_total") * F.col("area")).alias("__t"), F.sum(F.col("b_n") * F.col("area")).alias("__n"))
+    got = need.join(places, RECTANGLE).groupBy(F.col("id").alias("__id")).agg((F.sum("__t") / F.sum("__n")).alias("__h"))
     joined = primary.join(got, primary["id"] == got["__id"], "left")
     height = F.when(F.col("height") > 0, F.col("height")).otherwise(F.when(F.col("__h") > 0, F.col("__h")))
     return joined.withColumn("height", height).drop("__id", "__h")
 
 
 def append_unmatched(primary: DataFrame, reference: DataFrame) -> DataFrame:
-    """primary and the references that overlap none of it, with new ids after the largest one."""
-    hit = overlaps(reference, primary).select(F.col("a_id").alias("id")).distinct()
-    alone = reference.join(hit, "id", "left_anti")
+    """primary and the references that overlap none of it, with new ids after the largest one. Only different rectangles
+    are paired."""
+    pairs = overlaps(reference.select(*RECTANGLE).distinct(), primary.select(*RECTANGLE).distinct())
+    hit = pairs.select(*[F.col(f"a_{c}").alias(c) for c in RECTANGLE]).distinct()
+    alone = reference.join(hit, RECTANGLE, "left_anti")
     top = primary.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    numbered = alone.withColumn("__n", F.row_number().over(Window.orderBy("id"))).join(F.broadcast(top)).withColumn("id", F.col("top") + F.col("__n")).drop("__n", "top")
-    return primary.unionByName(numbered, allowMissingColumns=True)
+    new = numbered(alone, "id", "__new", 1).join(F.broadcast(top)).withColumn("id", F.col("top") + F.col("__new")).drop("__new", "top")
+    return primary.unionByName(new, allowMissingColumns=True)
 
 
 def merge_ids(first: DataFrame, second: DataFrame) -> DataFrame:
     """first and second; rows of second whose id is taken get new ids after the largest of both."""
     taken = second.join(first.select("id").distinct(), "id", "left_semi").select("id").distinct()
     top = first.select("id").union(second.select("id")).agg(F.max("id").alias("top"))
-    renumbered = taken.withColumn("__n", F.row_number().over(Window.orderBy("id"))).join(F.broadcast(top)).select("id", (F.col("top") + F.col("__n")).alias("__new"))
+    renumbered = numbered(taken, "id", "__at", 1).join(F.broadcast(top)).select("id", (F.col("top") + F.col("__at")).alias("__new"))
     moved = second.join(renumbered, "id", "left").withColumn("id", F.coalesce("__new", "id")).drop("__new")
     return first.unionByName(moved, allowMissingColumns=True)
 

@@ -53,3 +53,12 @@ def test_distances_on_the_ellipsoid_of_many_points(spark):
         got = rows.select(geometry.geodesic(F.col("x"), F.col("y"), F.col("x"), F.col("y") + 0.01).alias("m")).agg(F.count("m"), F.min("m"), F.max("m")).first()
     assert got[0] == 400_000 and 1105 < got[1] < got[2] < 1117
     assert spark.range(1).select(geometry.geodesic(F.lit(1.0), F.lit(None), F.lit(1.0), F.lit(2.0)).alias("m")).first().m is None
+
+
+def test_heights_and_gaps_of_many_equal_footprints(spark):
+    old, lone = stacked(spark), spark.createDataFrame([(COPIES + 7, 9, 9, 10, 10, 3.0), (COPIES + 5, 8, 8, 9, 9, 4.0)], "id long, i0 int, j0 int, i1 int, j1 int, height double")
+    with limited(spark):
+        got = vectors.transfer_heights(old, old).where("id % 2 = 1").groupBy(F.round("height", 3).alias("h")).agg(F.count(F.lit(1)).alias("n")).collect()
+        added = vectors.append_unmatched(old, old.unionByName(lone)).where(F.col("id") > COPIES).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(4.0, COPIES // 2)]
+    assert [(r.id, r.height) for r in added] == [(COPIES + 1, 4.0), (COPIES + 2, 3.0)]
