@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citylattice.functions.exprs import haversine_km, inside_ring
-from citylattice.session import parts
+from citylattice.session import parts, spread
 from citylattice.sources.geodata import numbered
 
 BUCKET = 4
@@ -102,13 +102,14 @@ def zone_stats(members: DataFrame, grid: DataFrame, value: str, weight: str | No
 
 def nearest_station(points: DataFrame, stations: DataFrame) -> DataFrame:
     """(id, station_id, km): nearest station of each point, ties to the smaller id, however far it is. Stations go out in
-    slices of a checked size; the nearest of all slices is taken."""
-    km = haversine_km(F.col("lon"), F.col("lat"), F.col("__lon"), F.col("__lat"))
+    slices of a checked size, each as one list that a point is compared with in its own row; the nearest of all is taken."""
+    dealt = spread(points, "id")
+    km = lambda s: F.struct(haversine_km(F.col("lon"), F.col("lat"), s["lon"], s["lat"]).alias("km"), s["station_id"].alias("station_id"))
     near = []
-    for part in parts(stations.select("station_id", F.col("lon").alias("__lon"), F.col("lat").alias("__lat"))):
-        near.append(points.join(F.broadcast(part)).groupBy("id").agg(F.min(F.struct(km.alias("km"), "station_id")).alias("b")))
-    best = near[0] if len(near) == 1 else reduce(DataFrame.union, near).groupBy("id").agg(F.min("b").alias("b"))
-    return best.select("id", "b.station_id", "b.km")
+    for part in parts(stations.select("station_id", "lon", "lat")):
+        all_ = part.agg(F.collect_list(F.struct("station_id", "lon", "lat")).alias("__s")).where(F.size("__s") > 0)
+        near.append(dealt.crossJoin(F.broadcast(all_)).select("id", F.array_min(F.transform("__s", km)).alias("b")))
+    return reduce(DataFrame.union, near).groupBy("id").agg(F.min("b").alias("b")).select("id", "b.station_id", "b.km")
 
 
 def edge_slopes(points: DataFrame) -> DataFrame:

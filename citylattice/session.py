@@ -79,3 +79,13 @@ def parts(df: DataFrame, rows: int = BROADCAST_ROWS) -> list[DataFrame]:
     # twice as many slices as needed leave room for uneven hashes
     at = F.pmod(F.xxhash64(*df.columns), F.lit(2 * n))
     return [df.where(at == i) for i in range(2 * n)]
+
+
+#: Rows that one task has to open into many, or to put through a costly step.
+TASK_ROWS = 40_000
+
+
+def spread(df: DataFrame, *columns: str, rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` dealt by a hash of columns into tasks of about ``rows`` rows: a small file is one task, however much its rows
+    become."""
+    return df.repartition(max(1, -(-df.count() // rows)), *columns)

@@ -5,8 +5,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from citylattice.functions import geometry
-from citylattice.operators import selection, vectors
+from citylattice.functions import exprs, geometry
+from citylattice.operators import importer, raster, selection, vectors
+from citylattice.sources import geodata
 
 COPIES = 60_000
 
@@ -62,3 +63,16 @@ def test_heights_and_gaps_of_many_equal_footprints(spark):
         added = vectors.append_unmatched(old, old.unionByName(lone)).where(F.col("id") > COPIES).orderBy("id").collect()
     assert [tuple(r) for r in got] == [(4.0, COPIES // 2)]
     assert [(r.id, r.height) for r in added] == [(COPIES + 1, 4.0), (COPIES + 2, 3.0)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_point_meets_all_stations_in_its_own_row(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 50.0, 10.0)], "id long, lon double, lat double")
+    stations = spark.createDataFrame([(7, 1.0, 0.0), (5, -1.0, 0.0), (9, 50.0, 11.0)], "station_id long, lon double, lat double")
+    near = vectors.nearest_station(points, stations)
+    assert "array_min" in plan(near) and "RepartitionByExpression [id" in plan(near)
+    assert [(r.id, r.station_id) for r in near.orderBy("id").collect()] == [(1, 5), (2, 9)]
+    assert vectors.nearest_station(points, stations.where("station_id > 9")).count() == 0
