@@ -8,23 +8,26 @@ from pyspark.sql import functions as F
 from citylattice.functions import dims
 from citylattice.operators.components import components
 from citylattice.operators.voxels import paired_hits
+from citylattice.session import TASK_ROWS
 
 SIDES = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 
 
 def triangle_hits(triangles: DataFrame, shape: tuple[int, int]) -> DataFrame:
     """(name, i, j, z): heights at which triangles (name, a, b, c: points in cells) cross the middle line of each column,
-    by barycentric weights; upright triangles cross none, and a hit on a shared edge counts once."""
+    by barycentric weights; upright triangles cross none, and a hit on a shared edge counts once. Triangles and hits are dealt
+    into tasks by the number of triangles."""
     p = {n: {c: F.col(n)[c] for c in "xyz"} for n in "abc"}
     cells = lambda c, n: F.sequence(F.greatest(F.ceil(F.least(*[p[k][c] for k in "abc"]) - 0.5), F.lit(0)).cast("int"), F.least(F.floor(F.greatest(*[p[k][c] for k in "abc"]) - 0.5), F.lit(n - 1)).cast("int"))
     some = lambda c, n: F.when(F.greatest(F.ceil(F.least(*[p[k][c] for k in "abc"]) - 0.5), F.lit(0)) <= F.least(F.floor(F.greatest(*[p[k][c] for k in "abc"]) - 0.5), F.lit(n - 1)), cells(c, n))
-    at = triangles.withColumn("i", F.explode(some("x", shape[0]))).withColumn("j", F.explode(some("y", shape[1])))
+    tasks = max(1, -(-triangles.count() // TASK_ROWS))
+    at = triangles.repartition(tasks, "name", "a", "b", "c").withColumn("i", F.explode(some("x", shape[0]))).withColumn("j", F.explode(some("y", shape[1])))
     x, y = F.col("i") + 0.5, F.col("j") + 0.5
     cross = lambda q, r: (p[q]["x"] - x) * (p[r]["y"] - y) - (p[r]["x"] - x) * (p[q]["y"] - y)
     u, v, w = cross("b", "c"), cross("c", "a"), cross("a", "b")
     area = u + v + w
     inside = (area != 0) & (((u >= 0) & (v >= 0) & (w >= 0)) | ((u <= 0) & (v <= 0) & (w <= 0)))
-    return at.where(inside).select("name", "i", "j", F.round((u * p["a"]["z"] + v * p["b"]["z"] + w * p["c"]["z"]) / area, 9).alias("z")).distinct()
+    return at.where(inside).select("name", "i", "j", F.round((u * p["a"]["z"] + v * p["b"]["z"] + w * p["c"]["z"]) / area, 9).alias("z")).repartition(tasks, "name", "i", "j").distinct()
 
 
 def filled(hits: DataFrame) -> DataFrame:

@@ -76,3 +76,12 @@ def test_a_point_meets_all_stations_in_its_own_row(spark):
     assert "array_min" in plan(near) and "RepartitionByExpression [id" in plan(near)
     assert [(r.id, r.station_id) for r in near.orderBy("id").collect()] == [(1, 5), (2, 9)]
     assert vectors.nearest_station(points, stations.where("station_id > 9")).count() == 0
+
+
+def test_hits_are_dealt_by_the_number_of_triangles(spark, monkeypatch):
+    monkeypatch.setattr(importer, "TASK_ROWS", 10)
+    p = lambda x, y: F.struct(*[c.cast("double").alias(n) for c, n in ((x, "x"), (y, "y"), (F.lit(1), "z"))])
+    k, zero = F.col("id"), F.lit(0)
+    hits = importer.triangle_hits(spark.range(35).select(F.concat(F.lit("m"), k % 5).alias("name"), p(zero, zero).alias("a"), p(F.lit(4), zero).alias("b"), p(zero, F.lit(4)).alias("c")), (6, 6))
+    assert "RepartitionByExpression [name" in plan(hits) and plan(hits).count("], 4") >= 2
+    assert hits.groupBy("name").count().select("count").distinct().collect() == [(10,)]
