@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citylattice.functions import dims
-from citylattice.session import parts
+from citylattice.session import parts, spread
 
 
 def covered(footprints: DataFrame) -> DataFrame:
@@ -96,8 +96,9 @@ def layers(grid: DataFrame, interval: int = 5, mesh: float = 1.0) -> DataFrame:
 
 def covered_share(cells: DataFrame, boxes: DataFrame, least: float = 0.3) -> DataFrame:
     """(i, j, bh, bid): of boxes (x0, y0, x1, y1 in cell units) that cover more than ``least`` of a cell, the greatest
-    height, and the id that is last when they are ordered by height, highest first."""
-    b = boxes.where("x0 < x1 and y0 < y1")
+    height, and the id that is last when they are ordered by height, highest first. Of equal boxes of one height only the
+    last id is opened into cells."""
+    b = boxes.where("x0 < x1 and y0 < y1").groupBy("x0", "y0", "x1", "y1", "height").agg(F.max("id").alias("id"))
     b = b.withColumn("i", F.explode(F.sequence(F.floor("x0"), F.ceil("x1") - 1))).withColumn("j", F.explode(F.sequence(F.floor("y0"), F.ceil("y1") - 1)))
     side = lambda a, z, c: F.least(F.col(z), F.col(c) + 1.0) - F.greatest(F.col(a), F.col(c).cast("double"))
     hit = b.where(side("x0", "x1", "i") * side("y0", "y1", "j") > least)
@@ -113,11 +114,17 @@ def highest_cover(cells: DataFrame, boxes: DataFrame, value: str) -> DataFrame:
     return cells.join(most, ["i", "j"], "left").select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
+def _last_of_place(points: DataFrame) -> DataFrame:
+    """Of points (x, y, z, ord) at one place the later one, which is the nearest of them to any cell."""
+    return points.groupBy("x", "y").agg(F.min(F.struct((-F.col("ord")).alias("o"), "z", "ord")).alias("p")).select("x", "y", "p.z", "p.ord")
+
+
 def nearest_sample(cells: DataFrame, points: DataFrame, reach: int) -> DataFrame:
     """(i, j, z): value of the nearest point (x, y, z, ord) within ``reach`` cells of a centre, the later one of equally
-    near; points are sent to the cells around them, so the work is points times (2 reach + 1)^2."""
+    near; points are sent to the cells around them, so the work is places times (2 reach + 1)^2, dealt into tasks of about
+    600,000 rows."""
     steps = F.sequence(F.lit(-reach), F.lit(reach))
-    sent = points.withColumn("di", F.explode(steps)).withColumn("dj", F.explode(steps)).select((F.floor("x") + F.col("di")).cast("int").alias("i"), (F.floor("y") + F.col("dj")).cast("int").alias("j"), "x", "y", "z", "ord")
+    sent = spread(_last_of_place(points), "x", "y", rows=max(1, 600_000 // (2 * reach + 1) ** 2)).withColumn("di", F.explode(steps)).withColumn("dj", F.explode(steps)).select((F.floor("x") + F.col("di")).cast("int").alias("i"), (F.floor("y") + F.col("dj")).cast("int").alias("j"), "x", "y", "z", "ord")
     far = F.pow(F.col("i") + 0.5 - F.col("x"), 2) + F.pow(F.col("j") + 0.5 - F.col("y"), 2)
     best = sent.groupBy("i", "j").agg(F.min(F.struct(far.alias("d"), (-F.col("ord")).alias("o"), "z")).alias("b"))
     return cells.join(best, ["i", "j"], "left").select("i", "j", F.col("b.z").alias("z"))
@@ -125,10 +132,13 @@ def nearest_sample(cells: DataFrame, points: DataFrame, reach: int) -> DataFrame
 
 def nearest_of_all(cells: DataFrame, points: DataFrame) -> DataFrame:
     """(i, j, z): value of the nearest point (x, y, z, ord) of a centre at any distance, the later one of equally near.
-    Points go out in slices of a checked size; the work is cells times points."""
-    far = F.pow(F.col("i") + 0.5 - F.col("x"), 2) + F.pow(F.col("j") + 0.5 - F.col("y"), 2)
-    first = F.min(F.struct(far.alias("d"), (-F.col("ord")).alias("o"), "z"))
-    found = [cells.join(F.broadcast(part)).groupBy("i", "j").agg(first.alias("b")) for part in parts(points.select("x", "y", "z", "ord"))]
+    Places go out in slices of a checked size, each as one list that a cell is compared with in its own row; the work is
+    cells times places."""
+    far = lambda p: F.struct((F.pow(F.col("i") + 0.5 - p["x"], 2) + F.pow(F.col("j") + 0.5 - p["y"], 2)).alias("d"), (-p["ord"]).alias("o"), p["z"].alias("z"))
+    found = []
+    for part in parts(_last_of_place(points)):
+        all_ = part.agg(F.collect_list(F.struct("x", "y", "z", "ord")).alias("__p"))
+        found.append(cells.crossJoin(F.broadcast(all_)).select("i", "j", F.array_min(F.transform("__p", far)).alias("b")))
     best = reduce(DataFrame.union, found).groupBy("i", "j").agg(F.min("b").alias("b"))
     return cells.join(best, ["i", "j"], "left").select("i", "j", F.col("b.z").alias("z"))
 

@@ -85,3 +85,16 @@ def test_hits_are_dealt_by_the_number_of_triangles(spark, monkeypatch):
     hits = importer.triangle_hits(spark.range(35).select(F.concat(F.lit("m"), k % 5).alias("name"), p(zero, zero).alias("a"), p(F.lit(4), zero).alias("b"), p(zero, F.lit(4)).alias("c")), (6, 6))
     assert "RepartitionByExpression [name" in plan(hits) and plan(hits).count("], 4") >= 2
     assert hits.groupBy("name").count().select("count").distinct().collect() == [(10,)]
+
+
+def test_points_of_a_place_and_equal_boxes_are_opened_once(spark):
+    cells = spark.range(9).select((F.col("id") / 3).cast("int").alias("i"), (F.col("id") % 3).cast("int").alias("j"))
+    points = spark.range(COPIES).select(F.lit(1.25).alias("x"), F.lit(1.5).alias("y"), F.col("id").cast("double").alias("z"), F.col("id").alias("ord"))
+    boxes = spark.range(COPIES).select("id", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(1.5).alias("x1"), F.lit(1.0).alias("y1"), F.when(F.col("id") % 3 > 0, F.col("id") % 3 + 2.0).alias("height"))
+    near, share = raster.nearest_sample(cells, points, 2), raster.covered_share(cells, boxes)
+    for df in (near, share):
+        # an aggregate stands below what opens rows
+        assert plan(df).rindex("Aggregate") > plan(df).rindex("Generate")
+    assert {r.z for r in near.collect()} == {COPIES - 1.0} == {r.z for r in raster.nearest_of_all(cells, points).collect()}
+    got = {(r.i, r.j): (r.bh, r.bid) for r in share.collect()}
+    assert got[0, 0] == got[1, 0] == (4.0, COPIES - 3) and got[2, 2] == (0.0, 0)
