@@ -107,13 +107,18 @@ def inside_ring(x: Column, y: Column, ring: Column) -> Column:
 
 def shoelace(ring: Column) -> Column:
     """Area of array<struct<x,y>>."""
-    n = F.size(ring)
 
-    def term(i: Column) -> Column:
-        a, b = F.get(ring, i), F.get(ring, (i + 1) % n)
-        return a["x"] * b["y"] - b["x"] * a["y"]
+    def area(r: Column) -> Column:
+        n = F.size(r)
+
+        def term(i: Column) -> Column:
+            a, b = F.get(r, i), F.get(r, (i + 1) % n)
+            return a["x"] * b["y"] - b["x"] * a["y"]
+
+        return F.abs(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + term(i))) / 2
 
-    return F.abs(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + term(i))) / 2
+    # a list of one names the ring, which is otherwise made anew wherever it stands
+    return F.get(F.transform(F.array(ring), area), 0)
 
 
 def affine(i: Column, j: Column, origin: tuple[float, float], u: tuple[float, float], v: tuple[float, float], half: float = 0.5) -> tuple[Column, Column]:

@@ -9,7 +9,7 @@ from citylattice.functions import geometry as G
 from citylattice.operators import edits, importer, raster, rays, selection, solar, voxels
 from citylattice.plans import adapters as A
 from citylattice.plans.catalogue import FACES, OBSERVE, RAYS, SKY, SMALL, SMALL_SQL, TALL_SQL, THROUGH, _rays, _scene, _small_voxels, query, small_city
-from citylattice.session import cut
+from citylattice.session import cut, spread
 from citylattice.sources import geodata, sinks
 
 N = A.N
@@ -197,7 +197,7 @@ def footprints_in_box(spark, d):
 @query(f"{REAL} SELECT id, round((least(i1, 30.5) - greatest(i0, 10.25)) * (least(j1, 40.0) - greatest(j0, 12.5)), 6)::DOUBLE AS area FROM real WHERE least(i1, 30.5) > greatest(i0, 10.25) AND least(j1, 40.0) > greatest(j0, 12.5)")
 def clipped_footprints(spark, d):
     ring = geodata.clipped(F.expr("slice(ring, 1, 4)"), (10.25, 12.5, 30.5, 40.0))
-    return _box_rings(spark, d).withColumn("c", ring).select("id", F.round(exprs.shoelace(F.col("c")), 6).alias("area")).where("area > 0")
+    return spread(_box_rings(spark, d), "id").withColumn("c", ring).select("id", F.round(exprs.shoelace(F.col("c")), 6).alias("area")).where("area > 0")
 
 
 @query("SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM buildings")

@@ -50,7 +50,8 @@ def within_box(features: DataFrame, box: tuple[float, float, float, float], ring
 
 
 def clipped(ring: Column, box: tuple[float, float, float, float]) -> Column:
-    """The part of a convex or simple ring inside a box, by cutting along its four sides one after another."""
+    """The part of a convex or simple ring inside a box, by cutting along its four sides one after another; a ring wholly
+    inside stays, one wholly beyond a side is gone."""
     sides = F.array(*[F.struct(F.lit(upright).alias("up"), F.lit(float(limit)).alias("limit"), F.lit(sign).alias("sign")) for upright, limit, sign in ((True, box[0], 1.0), (True, box[2], -1.0), (False, box[1], 1.0), (False, box[3], -1.0))])
 
     def cut_by(r: Column, s: Column) -> Column:
@@ -66,7 +67,14 @@ def clipped(ring: Column, box: tuple[float, float, float, float]) -> Column:
 
         return F.flatten(F.transform(F.transform(r, lambda p, i: F.struct(p.alias("p"), F.get(r, (i + 1) % n).alias("q"))), edge))
 
-    return F.get(F.filter(F.array(F.aggregate(sides, ring.cast(RING), cut_by)), lambda r: F.size(r) >= 3), 0)
+    def whole(r: Column) -> Column:
+        b = G.bounds(r)
+        within = (b["w"] >= box[0]) & (b["s"] >= box[1]) & (b["e"] <= box[2]) & (b["n"] <= box[3])
+        beyond = (b["e"] < box[0]) | (b["n"] < box[1]) | (b["w"] > box[2]) | (b["s"] > box[3])
+        return F.when(within, r).when(~beyond, F.aggregate(sides, r, cut_by))
+
+    # a list of one names the ring, which is otherwise made anew wherever it stands
+    return F.get(F.filter(F.transform(F.array(ring.cast(RING)), whole), lambda r: F.size(r) >= 3), 0)
 
 
 def read_geojson(spark: SparkSession, path: str, id_column: str = "id") -> DataFrame:

@@ -98,3 +98,11 @@ def test_points_of_a_place_and_equal_boxes_are_opened_once(spark):
     assert {r.z for r in near.collect()} == {COPIES - 1.0} == {r.z for r in raster.nearest_of_all(cells, points).collect()}
     got = {(r.i, r.j): (r.bh, r.bid) for r in share.collect()}
     assert got[0, 0] == got[1, 0] == (4.0, COPIES - 3) and got[2, 2] == (0.0, 0)
+
+
+def test_a_clipped_ring_is_made_once_for_its_area(spark):
+    box = geometry.box_ring(F.struct(*[c.cast("double").alias(k) for c, k in zip((F.col("id"), F.lit(1), F.col("id") + 2, F.lit(3)), "wsen")]))
+    rings = spark.range(9).select("id", F.slice(box, 1, 4).alias("ring"))
+    df = rings.withColumn("c", geodata.clipped(F.col("ring"), (2.5, 0.0, 6.0, 2.0))).select("id", exprs.shoelace(F.col("c")).alias("area")).where("area > 0")
+    assert plan(df).count("flatten(") <= 2
+    assert {r.id: r.area for r in df.collect()} == {1: 0.5, 2: 1.5, 3: 2.0, 4: 2.0, 5: 1.0}
