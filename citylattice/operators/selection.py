@@ -125,13 +125,14 @@ def weighted_stats(members: DataFrame, key: str = "zone_id", value: str = "value
 
 def merged_segments(segments: DataFrame, near: float = 1e-6) -> DataFrame:
     """(axis, a, b, start, end): axis-parallel segments of one line, joined where they touch or overlap: islands of a line by
-    the largest end before each."""
+    the largest end before each. Equal segments have one number, whatever their order; those without ends, which stand first,
+    touch nothing and stay rows of their own."""
     from pyspark.sql import Window
 
     line = Window.partitionBy("axis", "a", "b").orderBy("start", "end")
     before = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
     opened = segments.select("axis", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.least("start", "end").alias("start"), F.greatest("start", "end").alias("end")).withColumn("new", F.when(F.col("start") <= before + near, 0).otherwise(1))
-    island = opened.withColumn("island", F.sum("new").over(line))
+    island = opened.withColumn("island", F.when(F.col("start").isNull(), F.row_number().over(line)).otherwise(F.sum("new").over(line)))
     return island.groupBy("axis", "a", "b", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
